@@ -27,10 +27,9 @@ def rate_to_depth(rate: Column, area_km2: Column) -> Column:
 
 def date_from_parts(year: Column, month: Column, day: Column) -> Column:
     """A date from its parts; NULL instead of an error for parts that form no date."""
-    text = F.concat_ws(
-        "-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")
-    )
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    first = F.make_date(year, F.when(month.between(1, 12), month).otherwise(F.lit(1)), F.lit(1))
+    valid = month.between(1, 12) & (day >= 1) & (day <= F.dayofmonth(F.last_day(first)))
+    return F.when(valid, F.date_add(first, (day - 1).cast("int")))
 
 
 def normalize_id(value: Column, lenient: bool = False) -> Column:
