@@ -108,16 +108,23 @@ def lag_columns(column: str, lags: Sequence[int], w: WindowSpec) -> list[Column]
     return [F.lag(column, k).over(w).alias(f"{column}_lag_{k}") for k in lags]
 
 
+def _framed_median(c: Column, frame: WindowSpec) -> Column:
+    known = F.array_sort(F.collect_list(c).over(frame))
+    n = F.size(known)
+    middle = (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n > 0, middle)
+
+
 # Rolling statistics by name; NULLs are skipped and std is the sample deviation (NULL for one value).
-ROLLING: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "min": F.min,
-    "max": F.max,
-    "sum": F.sum,
-    "var": F.var_samp,
-    "median": F.median,
-    "count": F.count,
+ROLLING: dict[str, Callable[[Column, WindowSpec], Column]] = {
+    "mean": lambda c, frame: F.avg(c).over(frame),
+    "std": lambda c, frame: F.stddev_samp(c).over(frame),
+    "min": lambda c, frame: F.min(c).over(frame),
+    "max": lambda c, frame: F.max(c).over(frame),
+    "sum": lambda c, frame: F.sum(c).over(frame),
+    "var": lambda c, frame: F.var_samp(c).over(frame),
+    "count": lambda c, frame: F.count(c).over(frame).cast("double"),
+    "median": _framed_median,
 }
 
 
@@ -129,7 +136,7 @@ def rolling_columns(
     column: str, windows: Sequence[int], stats: Sequence[str], w: WindowSpec, include_current: bool = True
 ) -> list[Column]:
     return [
-        ROLLING[stat](F.col(column)).over(trailing(w, n, include_current)).alias(f"{column}_roll{n}_{stat}")
+        ROLLING[stat](F.col(column), trailing(w, n, include_current)).alias(f"{column}_roll{n}_{stat}")
         for n in windows
         for stat in stats
     ]
