@@ -99,7 +99,7 @@ def hashed_rank(df: DataFrame, keys: Sequence[str], seed: int = 42, rank: str =
     )
 
 
-def _value_range(value: Column) -> Column:
+def value_range(value: Column) -> Column:
     """An integer that grows with the value: 64 steps per power of two, on both sides of zero."""
     step = F.floor(F.log2(F.abs(value)) * 64).cast("int") + F.lit(70000)
     return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0))
@@ -122,7 +122,7 @@ def order_statistics(
     by = list(by)
     v = F.col("_v")
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
-    rows = rows.withColumn("_range", _value_range(v))
+    rows = rows.withColumn("_range", value_range(v))
     ranges = rows.groupBy(*by, "_range").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )

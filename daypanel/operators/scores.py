@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daypanel.functions.errors import Errors
 from daypanel.functions.scalar import clamp_nonnegative
 from daypanel.operators import baseflow as bf
 from daypanel.operators import series
-from daypanel.operators.order import attach, order_statistics, quantiles, series_quantiles
+from daypanel.operators.order import attach, order_statistics, quantiles, series_quantiles, value_range
 from daypanel.schema import DATE, ENTITY, OBS, PRECIP, PRED, REGIME_QUANTILES, REGIMES
 
 EPSILON = 0.01
@@ -58,7 +58,7 @@ def metrics_per_month(df: DataFrame, more_than: int = 10) -> DataFrame:
     return months.agg(F.round(e.nse(), 4).alias("nse"), e.n().alias("n_samples")).where(F.col("n_samples") > more_than)
 
 
-def _scopes(by: Sequence[str], scopes: dict[str, Column], more_than: int) -> tuple[list[Column], Column]:
+def _scopes(scopes: dict[str, Column]) -> tuple[list[Column], Column]:
     """One struct of metrics per scope, all computed by the same aggregate, and their unfolding."""
     packed = []
     for name, condition in scopes.items():
@@ -85,7 +85,7 @@ def extreme_metrics(
         "flood_events": F.col("is_flood") == 1,
         "drought_events": F.col("is_drought") == 1,
     }
-    packed, unfold = _scopes(by, scopes, more_than)
+    packed, unfold = _scopes(scopes)
     rows = flagged.groupBy(*by).agg(*packed).select(*by, unfold)
     return rows.where((F.col("scope") == "overall") | (F.col("n_events") > more_than))
 
@@ -253,11 +253,7 @@ def evaluate_predictions(df: DataFrame, model: str = "model") -> DataFrame:
         long(extreme_metrics(rows), "extreme_event_metrics", F.col("scope")),
         long(flow_regime_metrics(rows), "flow_regime_metrics", F.col("regime")),
         long(shape, "hydrological_signatures", F.lit("all")),
-        long(
-            baseflow_and_peaks(rows),
-            "hydrological_signatures",
-            F.lit("all"),
-        ),
+        long(baseflow_and_peaks(rows), "hydrological_signatures", F.lit("all")),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -281,39 +277,39 @@ def _share(part: str, whole: str) -> Column:
 def flow_duration_curve(df: DataFrame, value: str, by: Sequence[str] = (ENTITY,)) -> DataFrame:
     """Values with the percent of time they are reached: ``rank / n * 100``, rank 1 = largest.
 
-    Equal values are counted, not ranked one by one: the rows of a tie share the exceedance range
-    ``(first_pct, exceedance_pct]`` and ``n_equal`` says how many there are.
+    Equal values are counted before they are ordered. Per entity every row is listed with its own
+    rank; for larger groups a value is one row, with the range of ranks ``first_rank .. last_rank``
+    that its ``n_equal`` rows share (the last rank gives ``exceedance_pct``).
     """
-    from daypanel.operators.order import _value_range
-    from pyspark.sql import Window
-
     keys = list(by)
-    v = F.col(value)
     counted = (
-        df.where(v.isNotNull())
-        .groupBy(*keys, v.cast("double").alias(value))
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias(value))
         .agg(F.count(F.lit(1)).alias("n_equal"))
-        .withColumn("_range", _value_range(F.col(value)))
+        .withColumn("_range", value_range(F.col(value)))
     )
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     ranges = counted.groupBy(*keys, "_range").agg(F.sum("n_equal").alias("_rows"))
+    earlier = whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     above = ranges.select(
         *keys,
         "_range",
-        F.coalesce(
-            F.sum("_rows").over(whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_above"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_above"),
         F.sum("_rows").over(whole).alias("_n"),
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(value))
-    upto = F.sum("n_equal").over(inside) + F.col("_above")
-    return counted.join(above, [*keys, "_range"]).select(
-        *keys,
-        value,
-        "n_equal",
-        (F.try_divide(upto - F.col("n_equal"), F.col("_n")) * 100).alias("first_pct"),
-        (F.try_divide(upto, F.col("_n")) * 100).alias("exceedance_pct"),
+    ranked = counted.join(above, [*keys, "_range"]).withColumn(
+        "last_rank", F.sum("n_equal").over(inside) + F.col("_above")
     )
+    first = F.col("last_rank") - F.col("n_equal") + 1
+
+    def share(rank: Column) -> Column:
+        return (F.try_divide(rank, F.col("_n")) * 100).alias("exceedance_pct")
+
+    if ENTITY in keys:
+        listed = ranked.select(*keys, value, "_n", F.explode(F.sequence(first, F.col("last_rank"))).alias("rank"))
+        return listed.select(*keys, value, "rank", share(F.col("rank")))
+    return ranked.select(*keys, value, "n_equal", first.alias("first_rank"), "last_rank", share(F.col("last_rank")))
 
 
 def fit_line(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
