@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daypanel.functions.scalar import season_name
-from daypanel.operators.order import attach, global_rank, order_statistics, quantiles
+from daypanel.functions.scalar import clamp_nonnegative, season_name
+from daypanel.operators.order import global_rank, order_statistics, quantiles
 from daypanel.schema import DATE, ENTITY, OBS
 
 LOWER, UPPER = 0.05, 0.95
@@ -66,11 +66,10 @@ def predict_interval(df: DataFrame, widening: DataFrame | None, non_negative: bo
     q = F.coalesce(widening.select("q").scalar(), F.lit(0.0)) if widening is not None else F.lit(0.0)
     known = F.col("lo").isNotNull() & F.col("med").isNotNull() & F.col("hi").isNotNull()
     ordered = F.when(known, F.array_sort(F.array(F.col("lo") - q, F.col("med"), F.col("hi") + q)))
-    out = df.withColumn("_band", ordered)
-    for i, name in enumerate(("lo", "med", "hi")):
-        edge = F.col("_band")[i]
-        out = out.withColumn(name, F.greatest(edge, F.lit(0.0)) if non_negative else edge)
-    return out.withColumn("lo", F.when(known, F.col("lo"))).drop("_band")
+    edges = {"lo": F.col("_band")[0], "med": F.col("_band")[1], "hi": F.col("_band")[2]}
+    final = {name: clamp_nonnegative(e) if non_negative else e for name, e in edges.items()}
+    banded = df.withColumn("_band", ordered)
+    return banded.select(*[final[c].alias(c) if c in final else F.col(c) for c in df.columns])
 
 
 def interval_quality(
@@ -98,17 +97,3 @@ def lag_cuts(df: DataFrame, lag: str, probs: Sequence[float] = (0.25, 0.5, 0.75)
     row = quantiles(df, lag, {f"c{i}": q for i, q in enumerate(probs)}).head()
     return [row[f"c{i}"] for i in range(len(probs))] if row else []
 
-
-__all__ = [
-    "attach",
-    "calibration_split",
-    "condition_columns",
-    "conformal_calibrate",
-    "coverage_rank",
-    "fit_group_quantiles",
-    "interval_quality",
-    "interval_series",
-    "lag_cuts",
-    "predict_interval",
-    "quantile_predict",
-]
