@@ -64,6 +64,7 @@ def read_entity_series(
     raw = (
         spark.read.option("header", True)
         .option("recursiveFileLookup", True)
+        .option("enforceSchema", False)
         .csv(path)
         .withColumn("_path", F.col("_metadata.file_path"))
     )
