@@ -116,6 +116,7 @@ def bounded_change(now: Column, before: Column, bound: float = 10.0) -> Column:
         F.when(now.isNull() | before.isNull(), F.lit(None))
         .when((before == 0) & (now > 0), limit)
         .when((before == 0) & (now < 0), -limit)
+        .when(before == 0, F.lit(None))
         .otherwise(F.least(F.greatest(F.try_divide(now, before) - 1, -limit), limit))
     )
 

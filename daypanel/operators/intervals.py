@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.functions.scalar import clamp_nonnegative, season_name
-from daypanel.operators.order import global_rank, order_statistics, quantiles
+from daypanel.operators.order import attach, global_rank, order_statistics, quantiles
 from daypanel.schema import DATE, ENTITY, OBS
 
 LOWER, UPPER = 0.05, 0.95
@@ -63,12 +63,13 @@ def conformal_calibrate(
 
 def predict_interval(df: DataFrame, widening: DataFrame | None, non_negative: bool = True) -> DataFrame:
     """Bands widened by the calibrated distance, put in order and kept at or above zero."""
-    q = F.coalesce(widening.select("q").scalar(), F.lit(0.0)) if widening is not None else F.lit(0.0)
+    wider = attach(df, widening.select(F.col("q").alias("_q"))) if widening is not None else df.withColumn("_q", F.lit(0.0))
+    q = F.coalesce(F.col("_q"), F.lit(0.0))
     known = F.col("lo").isNotNull() & F.col("med").isNotNull() & F.col("hi").isNotNull()
     ordered = F.when(known, F.array_sort(F.array(F.col("lo") - q, F.col("med"), F.col("hi") + q)))
     edges = {"lo": F.col("_band")[0], "med": F.col("_band")[1], "hi": F.col("_band")[2]}
     final = {name: clamp_nonnegative(e) if non_negative else e for name, e in edges.items()}
-    banded = df.withColumn("_band", ordered)
+    banded = wider.withColumn("_band", ordered)
     return banded.select(*[final[c].alias(c) if c in final else F.col(c) for c in df.columns])
 
 
