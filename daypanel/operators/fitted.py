@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from daypanel.operators import order, panel, series
 from daypanel.operators.features import select_features, value_columns
 from daypanel.schema import TARGET
+from daypanel.session import durable
 
 PARAMS_SCHEMA = "column string, place int, dropped boolean, median double, center double, scale double"
 
@@ -172,17 +173,25 @@ def preprocess(
     max_missing: float = 0.3,
     scaling: str = "standard",
     max_train_rows: int | None = None,
+    materialize: bool = True,
 ) -> Prepared:
-    """Valid targets, split by time, optional row cap, then fit on the training rows and apply to both."""
+    """Valid targets, split by time, optional row cap, then fit on the training rows and apply to both.
+
+    Fitting reads the rows several times and training many more, so with ``materialize`` the features
+    and the prepared training rows are each written once to the shared folder.
+    """
     valid = panel.drop_invalid_target(df, target)
+    if materialize:
+        valid = durable(valid, "features")
     train, test = panel.temporal_split(valid, train_end, test_start, train_start, test_end)
     if max_train_rows:
         train = order.stride_sample(train, max_train_rows)
     params = fit_params(train, target, max_missing, scaling)
     rows = params.collect()
     keep = [c for c in df.columns if c in ("catchment_id", "date", "basin") or c == target]
+    prepared = apply_params(train, rows, keep)
     return Prepared(
-        apply_params(train, rows, keep),
+        durable(prepared, "train") if materialize else prepared,
         apply_params(test, rows, keep),
         params,
         [r["column"] for r in sorted(rows, key=lambda r: r["place"]) if not r["dropped"]],

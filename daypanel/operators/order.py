@@ -51,7 +51,9 @@ def global_rank(
     sum over one count per day, whose length is the length of the calendar.
     """
     digest = F.md5(F.col(tie).cast("string"))
-    marked = df.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 2))
+    marked = df.withColumn("_digest", digest).withColumn(
+        "_part", F.coalesce(F.substring("_digest", 1, 2), F.lit(""))
+    )
     parts = marked.groupBy(order, "_part").agg(F.count(F.lit(1)).alias("_rows"))
     days = parts.groupBy(order).agg(F.sum("_rows").alias("_day_rows"))
     day_starts = days.select(
@@ -115,14 +117,20 @@ def order_statistics(
     """Exact elements of each group's ascending order: ``picks`` maps a name to ``n -> 0-based position``.
 
     Pass 1 counts rows per value range (combined on the map side, so a hot group costs a few
-    thousand rows per task). Pass 2 keeps only the rows of the ranges that hold a wanted position,
-    splits each range into 1,024 equal steps and orders distinct values inside one step. Groups whose
-    key is NULL are left out, as in a join.
+    thousand rows per task) and finds the ranges that hold a wanted position. Pass 2 keeps only the
+    rows of those ranges, splits each range into 1,024 equal steps and orders distinct values inside
+    one step. Groups whose key is NULL are left out, as in a join.
+
+    What a range is searched for travels with its rows as grouping columns (``_rest_i``), so each
+    pass reads the input once.
     """
     by = list(by)
     v = F.col("_v")
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
-    rows = rows.withColumn("_range", value_range(v))
+    usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    for key in by:
+        usable = usable & F.col(key).isNotNull()
+    rows = df.where(usable).select(*by, F.col(value).cast("double").alias("_v"))
+    rows = rows.withColumn("_range", F.coalesce(value_range(v), F.lit(0)))
     ranges = rows.groupBy(*by, "_range").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
@@ -130,51 +138,45 @@ def order_statistics(
     placed = ranges.select(
         "*",
         F.coalesce(F.sum("_rows").over(in_group.orderBy("_range").rowsBetween(*_BEFORE)), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(in_group).alias(count_name),
-    )
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("_pick"), at(F.col(count_name)).cast("bigint").alias("_at")) for name, at in picks.items()]
-    )
-    targets = (
-        placed.select("*", F.explode(wanted).alias("_w"))
-        .select("*", "_w.*")
-        .where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_rows")))
-        .select(*by, "_range", "_lo", "_hi", count_name, "_pick", (F.col("_at") - F.col("_start")).alias("_rest"))
-    )
-    one_range = [*by, "_range"]
-    step = F.coalesce(
-        F.least(F.floor(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")) * 1024).cast("int"), F.lit(1023)),
-        F.lit(0),
+        F.sum("_rows").over(in_group).alias("_n"),
     )
+    names = list(picks)
+    rest = []
+    for i, name in enumerate(names):
+        at = picks[name](F.col("_n")).cast("bigint") - F.col("_start")
+        rest.append(F.when((at >= 0) & (at < F.col("_rows")), at).alias(f"_rest_{i}"))
+    rests = [f"_rest_{i}" for i in range(len(names))]
+    targets = placed.select(*by, "_range", "_lo", "_hi", "_n", *rest).where(F.coalesce(*rests).isNotNull())
+
+    share = F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    step = F.coalesce(F.least(F.floor(share * 1024).cast("int"), F.lit(1023)), F.lit(0))
+    one_range, one_step = [*by, "_range"], [*by, "_range", "_step"]
     values = (
-        rows.join(targets.select(*one_range, "_lo", "_hi").distinct(), one_range)
+        rows.join(targets, one_range)
         .withColumn("_step", step)
-        .groupBy(*one_range, "_step", "_v")
+        .groupBy(*one_step, "_v", "_n", *rests)
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    one_step = [*one_range, "_step"]
-    steps = values.groupBy(*one_step).agg(F.sum("_rows").alias("_step_rows"))
-    steps = steps.withColumn(
-        "_step_start",
-        F.coalesce(
-            F.sum("_step_rows").over(Window.partitionBy(*one_range).orderBy("_step").rowsBetween(*_BEFORE)), F.lit(0)
-        ),
-    )
-    in_step = (
-        targets.drop("_lo", "_hi")
-        .join(steps, one_range)
-        .where((F.col("_rest") >= F.col("_step_start")) & (F.col("_rest") < F.col("_step_start") + F.col("_step_rows")))
-        .select(*one_step, count_name, "_pick", (F.col("_rest") - F.col("_step_start")).alias("_rest"))
-    )
-    upto = F.sum("_rows").over(Window.partitionBy(*one_step).orderBy("_v"))
-    found = (
-        values.withColumn("_upto", upto)
-        .join(in_step, one_step)
-        .where((F.col("_rest") < F.col("_upto")) & (F.col("_rest") >= F.col("_upto") - F.col("_rows")))
+    steps = (
+        values.groupBy(*one_step)
+        .agg(F.sum("_rows").alias("_step_rows"))
+        .select(
+            *one_step,
+            F.coalesce(
+                F.sum("_step_rows").over(Window.partitionBy(*one_range).orderBy("_step").rowsBetween(*_BEFORE)),
+                F.lit(0),
+            ).alias("_step_start"),
+        )
     )
-    return found.groupBy(*by).agg(
-        F.max(count_name).alias(count_name),
-        *[F.max(F.when(F.col("_pick") == name, v)).alias(name) for name in picks],
+    upto = F.col("_step_start") + F.sum("_rows").over(Window.partitionBy(*one_step).orderBy("_v"))
+    ordered = values.join(steps, one_step).withColumn("_upto", upto)
+
+    def chosen(i: int) -> Column:
+        here = (F.col(rests[i]) < F.col("_upto")) & (F.col(rests[i]) >= F.col("_upto") - F.col("_rows"))
+        return F.max(F.when(here, v))
+
+    return ordered.groupBy(*by).agg(
+        F.max("_n").alias(count_name), *[chosen(i).alias(name) for i, name in enumerate(names)]
     )
 
 

@@ -18,6 +18,7 @@ from daypanel.operators import baseflow as bf
 from daypanel.operators import series
 from daypanel.operators.order import attach, order_statistics, quantiles, series_quantiles, value_range
 from daypanel.schema import DATE, ENTITY, OBS, PRECIP, PRED, REGIME_QUANTILES, REGIMES
+from daypanel.session import durable
 
 EPSILON = 0.01
 
@@ -210,10 +211,15 @@ def peak_hit_rate(df: DataFrame, quantile: float = 0.95, reach: int = 3, digits:
     return hits.groupBy(ENTITY).agg((F.round(rate, digits) if digits is not None else rate).alias("peak_timing_hit_rate"))
 
 
-def signature_suite(df: DataFrame, precip: str | None = None) -> DataFrame:
-    """All flow signatures per entity (sequence signatures have no meaning across entities)."""
+def signature_suite(df: DataFrame, precip: str | None = None, materialize: bool = True) -> DataFrame:
+    """All flow signatures per entity (sequence signatures have no meaning across entities).
+
+    Each signature scans the predictions again, so they are written once to the shared folder first.
+    """
     by = [ENTITY]
     rows = scored(df)
+    if materialize:
+        rows = durable(rows.select(ENTITY, DATE, OBS, PRED, *([precip] if precip else [])), "predictions")
     parts = [
         log_nse(rows, by),
         high_flow_bias(rows, by),
@@ -233,9 +239,14 @@ def signature_suite(df: DataFrame, precip: str | None = None) -> DataFrame:
     return out.select(*[F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in out.columns])
 
 
-def evaluate_predictions(df: DataFrame, model: str = "model") -> DataFrame:
-    """The complete evaluation as long rows ``(model, section, scope, metric, value)``."""
-    rows = scored(df)
+def evaluate_predictions(df: DataFrame, model: str = "model", materialize: bool = True) -> DataFrame:
+    """The complete evaluation as long rows ``(model, section, scope, metric, value)``.
+
+    The predictions are scanned once per section, so they are written once to the shared folder first.
+    """
+    rows = scored(df).select(ENTITY, DATE, OBS, PRED)
+    if materialize:
+        rows = durable(rows, "predictions")
 
     def long(table: DataFrame, section: str, scope: Column) -> DataFrame:
         names = [c for c in table.columns if c not in ("scope", "regime", ENTITY)]

@@ -10,6 +10,7 @@ from daypanel.queries import shared as X
 from daypanel.queries.panels import _RANKED, _plain
 from daypanel.queries.registry import fragment, query, rounded, rounded_sql, with_
 from daypanel.schema import DATE, ENTITY, OBS, PRECIP, PRED, TARGET, TMAX
+from daypanel.session import durable
 
 VALUES = (TARGET, PRECIP, TMAX)
 fragment("train", f"SELECT * FROM obs WHERE date <= DATE '{X.TRAIN_END}'", "obs")
@@ -203,11 +204,12 @@ GROUPS = ["season", "lag_bucket"]
 def _interval_parts(spark, folder):
     seen = X.observed(spark, folder).select(ENTITY, DATE, F.col(TARGET).alias(OBS))
     lagged = series.over_series(seen, lambda w: [F.lag(OBS, 1).over(w).alias(PRED)], before=1)
+    lagged = durable(lagged, "lagged")
     train, test = P.temporal_split(lagged, X.TRAIN_END, X.TEST_START)
-    parted = intervals.calibration_split(train)
+    parted = durable(intervals.calibration_split(train), "parted")
     fit, calibration = parted.where("part = 'fit'"), parted.where("part = 'calibration'")
     cuts = intervals.lag_cuts(fit, PRED)
-    learned = intervals.fit_group_quantiles(intervals.condition_columns(fit, PRED, cuts), GROUPS)
+    learned = durable(intervals.fit_group_quantiles(intervals.condition_columns(fit, PRED, cuts), GROUPS), "quantiles")
 
     def band(rows):
         return intervals.quantile_predict(intervals.condition_columns(rows, PRED, cuts), learned, GROUPS)

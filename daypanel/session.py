@@ -44,7 +44,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that lost executors cost no recomputation of its history."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back.
+
+    Cuts lineage: later scans, and tasks repeated after a lost executor, read only the columns they
+    need from files instead of recomputing the history. The files stay until the folder is cleaned.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
