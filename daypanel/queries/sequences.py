@@ -310,13 +310,11 @@ _FLAGS = [
 
 @query(
     rounded_sql(
-        f"SELECT * FROM (SELECT catchment_id, date, streamflow_mm_day, pos, {', '.join(_ENGINEERED + _FLAGS)} FROM panel) WHERE pos > 30",
+        f"SELECT * FROM (SELECT catchment_id, date, streamflow_mm_day, row_number() {W} AS rn, {', '.join(_ENGINEERED + _FLAGS)} FROM obs) WHERE rn > 30",
         f"catchment_id date streamflow_mm_day {_names(_FLAGS)}",
         _names(_ENGINEERED),
-        "panel",
+        "obs",
     )
 )
 def engineer_features(spark, folder):
-    built = FE.engineer_features(X.panel(spark, folder))
-    drop = [PRECIP, TMAX, TMIN, "pet_mm", "pos", "basin", "area_km2", "latitude", "longitude"]
-    return rounded(built.drop(*drop))
+    return rounded(FE.engineer_features(X.observed(spark, folder)).drop(PRECIP, TMAX, TMIN, "pet_mm"))
