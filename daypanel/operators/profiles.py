@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from daypanel.operators.order import attach, quantiles
 from daypanel.schema import DATE, PRECIP, TARGET
 
-PAIRS_PER_JOB = 400
+PAIRS_PER_JOB = 200
 
 
 def _unfold(df: DataFrame, structs: dict[str, Column]) -> DataFrame:
@@ -69,28 +69,56 @@ def monthly_climatology(df: DataFrame, columns: Sequence[str] = (TARGET, PRECIP)
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, as long rows, over the rows where both are known.
 
-    All pairs of one job share a scan and are reduced on the map side; very wide tables take
-    several jobs, so that a generated aggregate stays small.
+    Columns are first centred on their means, so that plain sums of products lose no digits. Each
+    row yields one cell per pair of columns, which is summed by pair before the shuffle: one
+    aggregate of a few sums, however many columns there are.
     """
-
-    def pair(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        return F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("correlation"))
-
-    pairs = list(combinations_with_replacement(columns, 2))
-    parts = [
-        _unfold(df, {f"{a}|{b}": pair(a, b) for a, b in pairs[i : i + PAIRS_PER_JOB]})
-        for i in range(0, len(pairs), PAIRS_PER_JOB)
-    ]
+    names = list(columns)
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)])
+    wide = attach(df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]), means)
+    centred = wide.select(*[(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(len(names))])
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    x, y = F.col("x"), F.col("y")
+    parts = []
+    for k in range(0, len(pairs), PAIRS_PER_JOB):
+        cells = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")
+                )
+                for i, j in pairs[k : k + PAIRS_PER_JOB]
+            ]
+        )
+        parts.append(
+            centred.select(F.inline(cells))
+            .select("i", "j", F.when(y.isNotNull(), x).alias("x"), F.when(x.isNotNull(), y).alias("y"))
+            .groupBy("i", "j")
+            .agg(
+                F.count("x").alias("n"),
+                F.sum(x).alias("sx"),
+                F.sum(y).alias("sy"),
+                F.sum(x * y).alias("sxy"),
+                F.sum(x * x).alias("sxx"),
+                F.sum(y * y).alias("syy"),
+            )
+        )
     half = parts[0]
     for part in parts[1:]:
         half = half.unionByName(part)
-    mirrored = half.where("column_a <> column_b").select(
-        F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "correlation"
+    label = F.array(*[F.lit(c) for c in names])
+    half = half.select("*", label[F.col("i")].alias("column_a"), label[F.col("j")].alias("column_b"))
+    n = F.col("n")
+    cross = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    spread_a = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    spread_b = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    varies = (spread_a > 0) & (spread_b > 0)
+    r = F.when(varies, F.try_divide(cross, F.sqrt(spread_a) * F.sqrt(spread_b)))
+    a, b = F.col("column_a"), F.col("column_b")
+    cells = F.array(
+        F.struct(a.alias("column_a"), b.alias("column_b"), r.alias("correlation")),
+        F.when(a != b, F.struct(b.alias("column_a"), a.alias("column_b"), r.alias("correlation"))),
     )
-    return half.unionByName(mirrored)
+    return half.select(F.inline(F.array_compact(cells)))
 
 
 def histogram(df: DataFrame, column: str = TARGET, bins: int = 50) -> DataFrame:

@@ -22,7 +22,6 @@ from daypanel.schema import DATE, ENTITY, OBS, PRECIP, PRED, TARGET
 
 BLOCK_ROWS = 4096
 _UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
-_FROM_NOW = (Window.currentRow, Window.unboundedFollowing)
 
 
 def over_series(
@@ -67,20 +66,21 @@ def _carried(
         "_block", F.floor(F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) / block_days).cast("bigint")
     )
     newest = F.max_by if forward else F.min_by
-    pick = F.last if forward else F.first
-    reach = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
+    # Backwards the rows are read in descending order: a frame that looks ahead to the end of its
+    # partition would be evaluated anew for every row.
+    direction = F.asc if forward else F.desc
     blocks = marked.groupBy(key, "_block").agg(
         *[newest(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.col(order))).alias(f"_edge_{n}") for n in values]
     )
-    across = Window.partitionBy(key).orderBy("_block").rowsBetween(*reach)
+    across = Window.partitionBy(key).orderBy(direction("_block")).rowsBetween(Window.unboundedPreceding, -1)
     edges = blocks.select(
-        key, "_block", *[pick(f"_edge_{n}", ignorenulls=True).over(across).alias(f"_far_{n}") for n in values]
+        key, "_block", *[F.last(f"_edge_{n}", ignorenulls=True).over(across).alias(f"_far_{n}") for n in values]
     )
-    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(*(_UP_TO_NOW if forward else _FROM_NOW))
+    within = Window.partitionBy(key, "_block").orderBy(direction(order)).rowsBetween(*_UP_TO_NOW)
     return marked.join(edges, [key, "_block"]).select(
         *df.columns,
         *[
-            F.coalesce(pick(f"_in_{n}", ignorenulls=True).over(within), F.col(f"_far_{n}")).alias(n)
+            F.coalesce(F.last(f"_in_{n}", ignorenulls=True).over(within), F.col(f"_far_{n}")).alias(n)
             for n in values
         ],
     )
