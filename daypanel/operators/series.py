@@ -24,6 +24,15 @@ BLOCK_ROWS = 4096
 _UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The shuffle a window needs, with a fixed number of partitions.
+
+    Window columns cost far more than the few narrow columns they are made of, so partitions must not
+    be merged by the size of those columns, which adaptive execution would do.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def over_series(
     df: DataFrame,
     build: Callable[[WindowSpec], Sequence[Column]],
@@ -54,7 +63,7 @@ def over_series(
         wanted_by.append(F.when((inside < after) & (home > 0), home - 1))
     copies = placed.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(*wanted_by))))
     window = Window.partitionBy(key, "_block").orderBy(pos)
-    out = copies.select("*", *build(window)).where(F.col("_block") == F.col("_home"))
+    out = _spread(copies, key, "_block").select("*", *build(window)).where(F.col("_block") == F.col("_home"))
     return out.drop("_home", "_block", *([] if given else [pos]))
 
 
@@ -77,7 +86,7 @@ def _carried(
         key, "_block", *[F.last(f"_edge_{n}", ignorenulls=True).over(across).alias(f"_far_{n}") for n in values]
     )
     within = Window.partitionBy(key, "_block").orderBy(direction(order)).rowsBetween(*_UP_TO_NOW)
-    return marked.join(edges, [key, "_block"]).select(
+    return _spread(marked, key, "_block").join(edges, [key, "_block"]).select(
         *df.columns,
         *[
             F.coalesce(F.last(f"_in_{n}", ignorenulls=True).over(within), F.col(f"_far_{n}")).alias(n)

@@ -16,6 +16,7 @@ def build_session(name: str = "daypanel", master: str | None = None, **conf: str
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
         "spark.sql.session.timeZone": "UTC",
         # Generated methods above this size are never compiled by the JVM; Spark then does better without them.
         "spark.sql.codegen.hugeMethodLimit": "8000",
