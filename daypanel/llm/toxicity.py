@@ -1,9 +1,11 @@
 """Toxic passages as maximal-scoring segments of token log-odds.
 
-Learning: tokens of toxic and clean training texts are counted; log-odds with a Dirichlet prior (the background rates times
-``PRIOR``) and their z-scores pick the lexicon. A token's score is the log of its rate inside a toxic passage over its rate in
-clean text, every other token shares one negative score; the exponentials of the scores average to 1 over clean text, so the extreme-value
-parameter lambda is 1 by construction, and K is fitted to the best segments of clean training texts.
+Learning: a word stands for itself and for its stems (its first ``STEMS`` characters). They are counted in toxic and clean training texts, n
+occurrences in one text as 1 + ln n, so a text that repeats a word teaches little more than one that has it once; log-odds with a
+Dirichlet prior (the background rates times ``PRIOR``) and their z-scores pick the lexicon, one word or stem of each family. A score is the
+log of its rate inside a toxic passage over its rate in clean text, every other word shares one negative score; the exponentials of
+the scores average to 1 over clean text, so the extreme-value parameter lambda is 1 by construction, and K is fitted to the best segments of
+clean training texts.
 
 Scoring: a linear-time scan (Ruzzo and Tompa's stack) finds all maximal segments of a text; a segment of score S in n tokens is
 expected ``K n exp(-S)`` times by chance and is a toxic passage if that is at most ``MAX_EXPECTED``. The evidence of a text is the sum of
@@ -22,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +35,38 @@ from daypanel.llm.common import slices, texts_of
 
 MAX_ROWS = 50_000
 MAX_LEXICON = 20_000
-#: Weight of the background rates, in tokens; least z-score of a toxic token; rate of toxic tokens inside a passage.
+#: Weight of the background rates, in counted words; least z-score of a toxic token; rate of toxic tokens inside a passage.
 PRIOR = 10_000.0
 MIN_Z = 3.0
-PASSAGE_RATE = 0.1
+PASSAGE_RATE = 0.02
 MAX_EXPECTED = 0.05
 
+#: Lengths of the stems of a word; words that a worker remembers.
+STEMS = range(3, 9)
+CACHE_SIZE = 262_144
+
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+def units(word: str) -> list[str]:
+    """The word and its stems, which end in a star."""
+    return [word, *(word[:n] + "*" for n in STEMS if n <= len(word))]
+
+
+class _Scores(dict):
+    """Score of every word met, 0 for those outside the lexicon; starts again when it is full."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE_SIZE:
+            self.clear()
+        self[word] = found = max((self.lexicon[u] for u in units(word) if u in self.lexicon), default=0.0)
+        return found
+
+
 @dataclass(frozen=True)
 class ToxicModel:
     scores: dict[str, float] = field(default_factory=dict)
@@ -49,6 +75,13 @@ class ToxicModel:
     slope: float = 0.0
     base: float = -math.inf
 
+    @cached_property
+    def known(self) -> _Scores:
+        return _Scores(self.scores)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
     def probability(self, evidence: float) -> float:
         x = self.base + self.slope * evidence
         return 0.0 if x < -700 else 1 / (1 + math.exp(-x))
@@ -79,15 +112,30 @@ def maximal_segments(hits: list[tuple[int, float]], other: float) -> list[tuple[
     return [(a, b, right - left) for left, right, a, b, _ in stack]
 
 
-def _hits(tokens: list[str], scores: dict[str, float]) -> list[tuple[int, float]]:
-    return [(i, scores[t]) for i, t in enumerate(tokens) if t in scores]
+def _hits(tokens: list[str], scores: _Scores) -> list[tuple[int, float]]:
+    return [(i, s) for i, t in enumerate(tokens) if (s := scores[t])]
+
+
+def one_of_each_family(ranked: list[str]) -> list[str]:
+    """The units that neither begin a better one nor are begun by one; ``ranked`` has the best first."""
+    kept, begun, stems = [], set(), set()
+    for unit in ranked:
+        word = unit.rstrip("*")
+        heads = {word[:n] for n in range(1, len(word) + 1)}
+        if heads & stems or unit.endswith("*") and word in begun:
+            continue
+        kept.append(unit)
+        begun |= heads
+        if unit.endswith("*"):
+            stems.add(word)
+    return kept
 
 
 def passages_of(text: str, model: ToxicModel, most: float = MAX_EXPECTED) -> list[tuple[int, int, float, float]]:
     """Toxic passages ``(start, end, score, expected)`` in characters of ``text``."""
     low = text.lower()
     tokens = _TOKEN.findall(low)
-    hits = _hits(tokens, model.scores)
+    hits = _hits(tokens, model.known)
     if not hits:
         return []
     spans = [m.span() for m in _TOKEN.finditer(low)]
@@ -100,13 +148,22 @@ def evidence(expected: list[float]) -> float:
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each word and stem its occurrences in clean texts, and its damped counts in clean and in toxic texts."""
     for batch in slices(batches):
-        counts = (Counter(), Counter())
+        used, damped = Counter(), (Counter(), Counter())
         for text, toxic in zip(texts_of(batch), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(_TOKEN.findall(text.lower()))
-        tokens = list(counts[0] | counts[1])
+            tokens: Counter = Counter()
+            for word, n in Counter(_TOKEN.findall(text.lower())).items():
+                for unit in units(word):
+                    tokens[unit] += n
+            for unit, n in tokens.items():
+                damped[toxic][unit] += 1 + math.log(n)
+            if not toxic:
+                used.update(tokens)
+        found = list(damped[0] | damped[1])
+        counts = [pa.array([float(c[u]) for u in found], pa.float64()) for c in damped]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(tokens, pa.string()), *(pa.array([c[t] for t in tokens], pa.int64()) for c in counts)], ["token", "clean", "toxic"]
+            [pa.array(found, pa.string()), pa.array([used[u] for u in found], pa.int64()), *counts], ["token", "used", "clean", "toxic"]
         )
 
 
@@ -116,7 +173,7 @@ def _best(model: ToxicModel):
             rows = []
             for text in texts_of(batch):
                 tokens = _TOKEN.findall(text.lower())
-                segments = maximal_segments(_hits(tokens, model.scores), model.other)
+                segments = maximal_segments(_hits(tokens, model.known), model.other)
                 rows.append((max(1, len(tokens)), [s for _, _, s in segments]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.float64()))],
@@ -156,22 +213,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def fit(rows: DataFrame) -> ToxicModel:
     """Fit on rows ``(text, toxic)``, see :func:`training_rows`."""
-    counts = rows.mapInArrow(_token_counts, "token string, clean long, toxic long").groupBy("token").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    counts = rows.mapInArrow(_token_counts, "token string, used long, clean double, toxic double").groupBy("token").agg(
+        F.sum("used").alias("used"), F.round(F.sum("clean"), 6).alias("clean"), F.round(F.sum("toxic"), 6).alias("toxic")
     )
-    sums = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
-    n0, n1 = sums["clean"] or 0, sums["toxic"] or 0
+    counts = counts.persist()
+    sums = counts.where(~F.col("token").endswith("*")).agg(F.sum("used"), F.sum("clean"), F.sum("toxic")).first()
+    n_used, n0, n1 = (round(x or 0, 3) for x in sums)
     if not n0 or not n1:
+        counts.unpersist()
         return ToxicModel()
     prior = F.lit(PRIOR / (n0 + n1)) * (F.col("clean") + F.col("toxic"))
     odds = lambda c, n: F.log((F.col(c) + prior) / (F.lit(n + PRIOR) - F.col(c) - prior))
     z = (odds("toxic", n1) - odds("clean", n0)) / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    kept = counts.select("*", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "token").limit(MAX_LEXICON)
-    lexicon = {r["token"]: (r["clean"], r["toxic"]) for r in kept.collect()}  # MAX_LEXICON rows at most
-    share = PRIOR / (n0 + n1)
+    kept = counts.select("*", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc(F.round("z", 6)), "token").limit(MAX_LEXICON)
+    found = {r["token"]: (r["used"], r["toxic"], r["z"]) for r in kept.collect()}  # MAX_LEXICON rows at most
+    ranked = sorted(found, key=lambda u: (-found[u][2], u.endswith("*"), -len(u), u))
+    lexicon = {u: found[u][:2] for u in one_of_each_family(ranked)}
+    counts.unpersist()
     while True:  # tokens that speak against a passage leave, and the rest share its rate
         inside = sum(t for _, t in lexicon.values())
-        rate = {w: (c + share * (c + t)) / (n0 + PRIOR) for w, (c, t) in lexicon.items()}
+        rate = {w: (c + 1) / (n_used + 1) for w, (c, _) in lexicon.items()}
         scores = {w: math.log(PASSAGE_RATE * lexicon[w][1] / inside / rate[w]) for w in lexicon}
         weak = [w for w, s in scores.items() if s <= 0]
         if not weak:
@@ -181,18 +242,18 @@ def fit(rows: DataFrame) -> ToxicModel:
     if not scores:
         return ToxicModel()
     draft = ToxicModel(scores, math.log((1 - PASSAGE_RATE) / max(1 - sum(rate.values()), 1e-9)) if sum(rate.values()) < PASSAGE_RATE else -1e-3)
-    found = rows.mapInArrow(_best(draft), "toxic int, n long, segments array<double>").persist()
-    clean = found.where("toxic = 0").select("n", F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("x"))
+    segments = rows.mapInArrow(_best(draft), "toxic int, n long, segments array<double>").persist()
+    clean = segments.where("toxic = 0").select("n", F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("x"))
     fitted = clean.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") * F.exp(-F.col("x"))).alias("sum")).first()
     k = fitted["rows"] / fitted["sum"] if fitted["sum"] else 1.0
     expected = F.transform("segments", lambda s: F.lit(math.log(k)) + F.log("n") - s)
     strong = F.filter(expected, lambda e: e <= math.log(MAX_EXPECTED))
     total = F.aggregate(strong, F.lit(0.0), lambda a, e: a - e)
-    bins = found.groupBy(F.round(F.least(total, F.lit(200.0)), 1).alias("x")).agg(
+    bins = segments.groupBy(F.round(F.least(total, F.lit(200.0)), 1).alias("x")).agg(
         F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")
     )
     points = [(r["x"], r["clean"], r["toxic"]) for r in bins.collect()]  # 2,001 values at most
-    found.unpersist()
+    segments.unpersist()
     base, slope = _logistic(points)
     return ToxicModel(scores, draft.other, k, slope, base)
 
