@@ -22,7 +22,6 @@ from daypanel.operators.order import time_series_folds
 from daypanel.schema import TARGET
 
 PREDICTION = "prediction"
-MAX_RANDOM_TRIALS = 30
 
 # Name -> (estimator factory, parameter search space).
 FAMILIES: dict[str, Callable[[Mapping], Estimator]] = {
@@ -70,10 +69,10 @@ def draw_params(space: Mapping[str, Mapping], rng: random.Random, include_high:
     return out
 
 
-def trial_table(space: Mapping[str, Mapping], n: int, seed: int = 42) -> list[dict]:
-    """The parameter sets to try, the same for every run with one seed."""
+def trial_table(space: Mapping[str, Mapping], n: int, seed: int = 42, include_high: bool = False) -> list[dict]:
+    """The ``n`` parameter sets to try, the same for every run with one seed."""
     rng = random.Random(seed)
-    return [draw_params(space, rng) for _ in range(min(n, MAX_RANDOM_TRIALS))]
+    return [draw_params(space, rng, include_high) for _ in range(n)]
 
 
 def model_stages(estimator: Estimator, features: Sequence[str], target: str = TARGET) -> Pipeline:
@@ -130,8 +129,9 @@ def _run_trial(folded, make, features, folds, target, scorer, place, family, tri
     started = time.monotonic()
     try:
         scores = cv_score(folded, make(params), features, folds, target, scorer)
-        known = [s for s in scores if s is not None]
-        score, error = (sum(known) / len(known) if known else None), None
+        undefined = [i for i, s in enumerate(scores) if s is None]
+        score = None if undefined else sum(scores) / len(scores)
+        error = f"no score in folds {undefined}" if undefined else None
     except Exception as failure:  # a bad parameter set is recorded and the search goes on
         scores, score, error = None, None, str(failure)[:500]
     shown = {k: str(v) for k, v in params.items()}
@@ -179,6 +179,7 @@ def fit_models(
     parallelism: int = 2,
     whole_days: bool = True,
     refit: bool = True,
+    include_high: bool = False,
 ) -> Search:
     """Search every family over the same time folds, keep the best parameters and refit them on all rows."""
     spark = train.sparkSession
@@ -190,16 +191,21 @@ def fit_models(
         sets: dict[int, dict] = {}
         for family in families:
             fixed = dict((base or {}).get(family, {}))
-            drawn = [{**fixed, **p} for p in trial_table(spaces[family], n_trials, seed)]
+            drawn = [{**fixed, **p} for p in trial_table(spaces[family], n_trials, seed, include_high)]
             sets.update({len(tried) + i: p for i, p in enumerate(drawn)})
             tried += param_search(
                 folded, family, features, folds, drawn, target, scorer, factories, adjust, parallelism, len(tried)
             )
         trials = spark.createDataFrame(tried, TRIAL_SCHEMA)
         best = pick_best_model(trials).head()
-        results = {
-            f: {"best_score": max((t[5] for t in tried if t[1] == f and t[5] is not None), default=None)} for f in families
-        }
+        results = {}
+        for family in families:
+            own = [t for t in tried if t[1] == family]
+            results[family] = {
+                "best_score": max((t[5] for t in own if t[5] is not None), default=None),
+                "seconds": sum(t[6] for t in own),
+                "errors": sorted({t[7] for t in own if t[7]}),
+            }
         if best is None or best["model"] is None:
             raise RuntimeError("all trials failed: " + "; ".join(sorted({t[7] for t in tried if t[7]}))[:500])
         chosen = sets[best["place"]]

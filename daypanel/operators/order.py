@@ -42,10 +42,12 @@ def with_position(df: DataFrame, key: str = ENTITY, order: str = DATE, name: str
 
 
 def global_rank(
-    df: DataFrame, order: str = DATE, tie: str = ENTITY, rank: str = "rank0", total: str = "n_rows"
+    df: DataFrame, order: str = DATE, tie: str = ENTITY, rank: str = "rank0", total: str = "n_rows", day_start: str | None = None
 ) -> DataFrame:
     """0-based rank of every row by (date, hash of the id, id), and the row count beside it.
 
+    ``day_start`` names a column for the first rank of the row's day.
+
     Rows of one day are ordered by the hash of their id, which is fixed, unrelated to the id's own
     order, and splits even a huge day into 256 buckets. The only unpartitioned step is a running
     sum over one count per day, whose length is the length of the calendar.
@@ -71,11 +73,12 @@ def global_rank(
         ).alias("_part_start"),
     ).join(day_starts, order)
     inside = Window.partitionBy(order, "_part").orderBy("_digest", tie)
-    return (
-        marked.join(part_starts, [order, "_part"])
-        .withColumn(rank, F.col("_day_start") + F.col("_part_start") + F.row_number().over(inside) - 1)
-        .drop("_digest", "_part", "_part_start", "_day_start")
+    ranked = marked.join(part_starts, [order, "_part"]).withColumn(
+        rank, F.col("_day_start") + F.col("_part_start") + F.row_number().over(inside) - 1
     )
+    if day_start:
+        ranked = ranked.withColumn(day_start, F.col("_day_start"))
+    return ranked.drop("_digest", "_part", "_part_start", "_day_start")
 
 
 def hashed_rank(df: DataFrame, keys: Sequence[str], seed: int = 42, rank: str = "rank0", total: str = "n_rows") -> DataFrame:
@@ -263,9 +266,7 @@ def time_series_folds(
     whose fold is NULL or smaller. ``whole_days`` moves each cut to the start of its day, so that no
     day is in training and validation of the same fold.
     """
-    ranked = global_rank(df, order, tie)
-    if whole_days:
-        ranked = ranked.withColumn("_cut_rank", F.min("rank0").over(Window.partitionBy(order)))
+    ranked = global_rank(df, order, tie, day_start="_cut_rank" if whole_days else None)
     place = F.col("_cut_rank") if whole_days else F.col("rank0")
     size = F.floor(F.try_divide(F.col("n_rows"), F.lit(folds + 1))).cast("bigint")
     behind = place - (F.col("n_rows") - folds * size)

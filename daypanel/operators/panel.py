@@ -99,7 +99,7 @@ def join_key_overlap(left: DataFrame, ids: DataFrame, columns: Sequence[str] | N
         [], names, "column", "id"
     )
     wanted = ids.select(F.col(ENTITY).cast("string").alias("id")).distinct()
-    found = cells.distinct().join(wanted, "id", "left_semi").groupBy("column").agg(F.count("id").alias("overlap"))
+    found = cells.join(wanted, "id", "left_semi").distinct().groupBy("column").agg(F.count("id").alias("overlap"))
     order = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))])
     needed = wanted.agg(F.greatest(F.lit(1), F.floor(F.count("id") / 2)).alias("needed")).scalar()
     return found.select("column", "overlap", order[F.col("column")].alias("place"), needed.alias("needed"))

@@ -122,7 +122,8 @@ def with_offset(df: DataFrame, by: Sequence[str] = (), epsilon: float = EPSILON)
 def log_nse(df: DataFrame, by: Sequence[str] = (), epsilon: float = EPSILON, digits: int | None = 4) -> DataFrame:
     shifted = with_offset(scored(df), by, epsilon)
     e = Errors(F.ln(F.col(OBS) + F.col("eps")), F.ln(F.col(PRED) + F.col("eps")))
-    value = e.nse()
+    # Without any flow the offset is 0 and there are no logs: no spread to explain, as in a constant series.
+    value = F.coalesce(e.nse(), F.when(F.max("eps") <= 0, F.lit(0.0)))
     return shifted.groupBy(*by).agg((F.round(value, digits) if digits is not None else value).alias("log_nse"))
 
 

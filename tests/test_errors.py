@@ -40,6 +40,12 @@ def test_no_rows_give_null(pairs):
     assert suite(pairs([1.0], [1.0]).where("false"))["nse"] is None
 
 
+def test_log_nse_without_any_flow(pairs):
+    df = pairs([0, 0, 0], [0, 0.5, 0])
+    assert scores.log_nse(df).head()["log_nse"] == 0.0
+    assert scores.log_nse(df, ["catchment_id"]).head()["log_nse"] == 0.0
+
+
 def test_missing_predictions_are_left_out(pairs):
     df = pairs([1, 2, 3, 4, 9], [1, 2, 3, 5, None])
     assert scores.metric_suite(df, count="n").head()["n"] == 4

@@ -101,7 +101,7 @@ def test_search_keeps_failed_trials_and_finds_the_best(noisy):
 
 def test_trial_parameters_are_repeatable():
     a = search.trial_table(search.SEARCH_SPACES["boosted_trees"], 100, seed=1)
-    assert len(a) == 30
+    assert len(a) == 100
     assert a == search.trial_table(search.SEARCH_SPACES["boosted_trees"], 100, seed=1)
     assert all(3 <= p["maxDepth"] < 15 and 0.01 <= p["stepSize"] <= 0.3 for p in a)
 
