@@ -28,7 +28,9 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from daypanel.llm.common import slices, texts_of
 from daypanel.llm.pretokens import agreed, splitter
 
-CACHE_SIZE = 262_144
+#: Matches in the cache of a worker; new ones that are encoded in one call.
+CACHE_SIZE = 131_072
+LEARNED_AT_ONCE = 4_096
 
 
 def byte_characters() -> list[str]:
@@ -66,12 +68,11 @@ def _tokenizer(path: str) -> Tokenizer:
 
 @cache
 def _byte_table(path: str) -> list[bytes]:
-    """Bytes of every id, read back from the characters of the vocabulary."""
-    back = {c: b for b, c in enumerate(byte_characters())}
-    vocab = _tokenizer(path).get_vocab()
-    table = [b""] * (max(vocab.values()) + 1)
-    for token, i in vocab.items():
-        table[i] = bytes(back[c] for c in token)
+    """Bytes of every id: the reversed ranks. A worker that only decodes builds no tokenizer."""
+    ranks = _ranks(path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        table[i] = token
     return table
 
 
@@ -85,8 +86,11 @@ class Encoder:
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > CACHE_SIZE:
             self.known, new = {}, list(pieces)
-        for piece, e in zip(new, _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.asarray(e.ids, "<u4").tobytes()
+        encode = _tokenizer(self.path).encode_batch_fast
+        for i in range(0, len(new), LEARNED_AT_ONCE):
+            some = new[i : i + LEARNED_AT_ONCE]
+            for piece, e in zip(some, encode(some, add_special_tokens=False), strict=True):
+                self.known[piece] = np.asarray(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.split(t) if agreed(t) else None for t in texts]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Java and Python class of what separates words: space and U+0009 to U+000D.
 SEPARATORS = r"[ \t-\r]+"
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def words(text: Column) -> Column:
