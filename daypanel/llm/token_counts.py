@@ -27,8 +27,10 @@ from daypanel.llm.pretokens import agreed, splitter
 
 #: Pre-tokens in the broadcast table; pieces in the summary of a task; pre-tokens in the cache of a worker.
 TABLE_SIZE = 32_768
-SUMMARY_SIZE = 131_072
-CACHE_SIZE = 262_144
+SUMMARY_SIZE = 65_536
+CACHE_SIZE = 131_072
+#: Pieces that are encoded in one call.
+ENCODED_AT_ONCE = 4_096
 #: Summaries merged by one task in the first round, and rows that reach the driver.
 MERGED_ROWS = 32
 
@@ -44,7 +46,10 @@ def _specials(path: str) -> tuple[str, ...]:
 
 
 def encoded_lengths(path: str, pieces: list[str]) -> list[int]:
-    return [len(e) for e in _tokenizer(path).encode_batch_fast(pieces, add_special_tokens=False)]
+    encode, found = _tokenizer(path).encode_batch_fast, []
+    for i in range(0, len(pieces), ENCODED_AT_ONCE):
+        found += [len(e) for e in encode(pieces[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
+    return found
 
 
 def _halve(counts: Counter, size: int) -> Counter:
