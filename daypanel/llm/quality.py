@@ -75,11 +75,11 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         (F.length("text") - F.length(F.translate(F.col("text"), SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^ \t-\r]")).alias("lines"),
         F.size(F.filter("w", lambda w: F.lower(w).isin(*stops))).cast("long").alias("n_stop_words"),
-        F.array_sort(grams).alias("g"),
+        F.sort_array(grams).alias("g"),
     )
-    same = lambda x, j: F.coalesce(x["h"] == F.get("g", j)["h"], F.lit(False))
+    same = lambda x, j: x["h"] == F.get("g", j)["h"]  # noqa: E731  NULL past the ends, which selects nothing
     repeated = F.filter("g", lambda x, j: same(x, j - 1) | same(x, j + 1))
-    spots = F.array_sort(F.transform(repeated, lambda x: x["i"]))
+    spots = F.sort_array(F.transform(repeated, lambda x: x["i"]))
     covered = F.aggregate(
         spots,
         F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")),
