@@ -51,6 +51,12 @@ def _library(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
 
 
+def _vocabulary(path: str) -> dict[str, int]:
+    """Every token in the characters that stand for its bytes."""
+    chars = byte_characters()
+    return {"".join(chars[b] for b in token): rank for token, rank in _ranks(path).items()}
+
+
 @cache
 def _tokenizer(path: str) -> Tokenizer:
     ranks, chars = _ranks(path), byte_characters()
@@ -68,11 +74,12 @@ def _tokenizer(path: str) -> Tokenizer:
 
 @cache
 def _byte_table(path: str) -> list[bytes]:
-    """Bytes of every id: the reversed ranks. A worker that only decodes builds no tokenizer."""
-    ranks = _ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        table[i] = token
+    """Bytes of every id, read back from the characters of the vocabulary. A worker that only decodes builds no tokenizer."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    vocab = _vocabulary(path)
+    table = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        table[i] = bytes(back[c] for c in token)
     return table
 
 
