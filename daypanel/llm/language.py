@@ -112,19 +112,25 @@ def learn(
     row_chars: int = ROW_CHARS,
     sample_chars: int = SAMPLE_CHARS,
 ) -> tuple[tuple[str, str], ...]:
-    """The sample for every language: distinct texts with the smallest hashes, up to ``row_chars`` characters from each."""
+    """The sample for every language: distinct texts with the smallest hashes, up to ``row_chars`` characters from each.
+
+    Texts below a bound on the hash are compared; the bound goes by the distinct texts of a language (as estimated, within a few hundredths),
+    so copies don't crowd out others: four times the sample is expected below it, or all.
+    """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
     )
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.02).alias("distinct"))
+    counted = counted.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     span = 1 << 30
-    wanted = [(r["lang"], min(span, math.ceil(span * 4 * sample_rows / r["n"]))) for r in counted.collect()]
+    wanted = [(r["lang"], min(span, math.ceil(span * 4 * sample_rows / max(1, r["distinct"])))) for r in counted.collect()]
     if not wanted:
         return ()
     limit = F.create_map(*[F.lit(x) for pair in wanted for x in pair])[F.col("lang")]
-    near = rows.where(F.pmod(F.col("h"), F.lit(span)) < limit)
+    place = F.pmod(F.col("h"), F.lit(span))
+    near = rows.where(place < limit)
     distinct = near.select("lang", "h", F.substring("text", 1, row_chars).alias("text")).dropDuplicates(["lang", "h"])
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
     taken = distinct.withColumn("rank", first).where(F.col("rank") <= sample_rows)
     texts: dict[str, list[str]] = {}
     for r in sorted(taken.collect(), key=lambda r: (r["lang"], r["h"])):  # bounded: languages x sample_rows x row_chars
