@@ -68,8 +68,7 @@ def quantile_regression_predict(spark, folder):
 @query()
 def permutation_importance(spark, folder):
     ready = _ready(spark, folder)
-    sample = order.sample_rows(ready.test, 2000)
-    return explain.permutation_importance(sample, _linear(ready), ready.features)
+    return explain.permutation_importance(ready.test, _linear(ready), ready.features)
 
 
 @query()
