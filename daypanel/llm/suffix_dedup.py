@@ -102,9 +102,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         text, first, last, width, repeats, anchor, context = window_runs(*_flat(batch.column("text")))
         rows = pa.array(text)
-        columns = [batch.column("id").take(rows), batch.column("th").take(rows)]
+        columns = [batch.column(c).take(rows) for c in ("id", "th", "tk")]
         columns += [pa.array(c.astype(np.int32)) for c in (first, last, width, repeats)] + [pa.array(anchor), pa.array(context)]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "th", "first", "last", "width", "repeats", "anchor", "context"])
+        yield pa.RecordBatch.from_arrays(columns, ["id", "th", "tk", "first", "last", "width", "repeats", "anchor", "context"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,40 +213,44 @@ def _hot_windows(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """``id, th, spans``: first and last repeated windows of each text that has any; ``rows`` are ``id, th, text``."""
+    """``id, th, tk, spans``: first and last repeated windows of each text that has any; ``rows`` are ``id, th, tk, text``.
+
+    ``th`` and ``tk`` are 128 bits of hash that tell texts of one id apart.
+    """
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, th int, first int, last int, width int, repeats int, anchor long, context long"
+    schema = f"id {kind}, th long, tk long, first int, last int, width int, repeats int, anchor long, context long"
     runs = rows.mapInArrow(_runs, schema)
     anchors = runs.groupBy("anchor").agg(F.sum("repeats").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
     anchors = anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
     settled = F.when(F.col("mixed") & (F.col("repeats") == 1), F.lit(False)).otherwise(F.lit(True))
     joined = runs.join(anchors, "anchor").select(
-        "id", "th", "first", "last", F.when(F.col("mixed"), F.col("width")).alias("width"), "repeats", settled.alias("settled"),
+        "id", "th", "tk", "first", "last", F.when(F.col("mixed"), F.col("width")).alias("width"), "repeats", settled.alias("settled"),
         F.when(F.col("mixed"), F.col("anchor")).alias("anchor"), F.when(F.col("mixed"), F.col("context")).alias("context"),
     )
     shared = durable(joined, "runs")
     mixed = shared.where("anchor IS NOT NULL")
-    one = F.min(F.struct("id", "th", "first", "width")).alias("one")
+    one = F.min(F.struct("id", "th", "tk", "first", "width")).alias("one")
     distinct = mixed.groupBy("anchor", "context").agg(F.sum("repeats").alias("copies"), one)
     distinct = durable(distinct, "contexts")
     many = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
     asked = distinct.join(many, "anchor").select(
-        "one.id", "one.th", F.struct("one.first", "one.width", "anchor", "context", "copies", (F.col("contexts") > HOT_CONTEXTS).alias("hot")).alias("a")
+        "one.id", "one.th", "one.tk", F.struct("one.first", "one.width", "anchor", "context", "copies", (F.col("contexts") > HOT_CONTEXTS).alias("hot")).alias("a")
     )
-    asked = asked.groupBy(F.col("id").alias("aid"), F.col("th").alias("ath")).agg(F.collect_list("a").alias("asked"))  # bounded by one text
-    fetched = rows.join(asked, F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath"))).select("text", "asked")
+    asked = asked.groupBy(F.col("id").alias("aid"), F.col("th").alias("ath"), F.col("tk").alias("atk")).agg(F.collect_list("a").alias("asked"))  # bounded by one text
+    same = F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")) & (F.col("tk") == F.col("atk"))
+    fetched = rows.join(asked, same).select("text", "asked")
     contexts = durable(fetched.mapInArrow(_contexts, "anchor long, context long, copies long, hot boolean, bytes binary"), "context-bytes")
     cold = contexts.where("NOT hot").select("anchor", "context", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     found = cold.mapInArrow(_sorted_shards, "anchor long, context long, spans array<struct<a:int,b:int>>")
     found = found.unionByName(_hot_windows(contexts))
     several = distinct.where("copies > 1").select("anchor", "context", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
     answers = found.join(several.select("anchor", "context"), ["anchor", "context"], "left_anti").unionByName(several)
-    back = mixed.where("NOT settled").join(answers, ["anchor", "context"]).select("id", "th", "first", "last", "spans")
+    back = mixed.where("NOT settled").join(answers, ["anchor", "context"]).select("id", "th", "tk", "first", "last", "spans")
     whole = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     part = F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"]).alias("b")))
-    windows = back.select("id", "th", F.coalesce(part, whole).alias("spans"))
-    windows = windows.unionByName(shared.where("settled").select("id", "th", whole.alias("spans")))
-    return windows.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by one text
+    windows = back.select("id", "th", "tk", F.coalesce(part, whole).alias("spans"))
+    windows = windows.unionByName(shared.where("settled").select("id", "th", "tk", whole.alias("spans")))
+    return windows.groupBy("id", "th", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by one text
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +281,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col(text_col).cast("string")
     carried = F.struct(F.col(id_col), *[F.col(c) for c in others if c not in (id_col, text_col)]).alias("row")
-    rows = df.select(carried, F.col(id_col).alias("id"), F.hash(text).alias("th"), text.alias("text"))
-    spans = repeated_spans(rows.drop("row")).withColumnsRenamed({"id": "sid", "th": "sth"})
-    same = F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth"))
+    digest = (F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tk"))  # the first argument seeds the second
+    rows = df.select(carried, F.col(id_col).alias("id"), *digest, text.alias("text"))
+    spans = repeated_spans(rows.drop("row")).withColumnsRenamed({"id": "sid", "th": "sth", "tk": "stk"})
+    same = F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")) & (F.col("tk") == F.col("stk"))
     joined = rows.join(spans, same, "left").select("row", "text", "spans")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, removed array<struct<a:int,b:int>>, kept binary, kept_text string"
     return joined.mapInArrow(_cut, schema).select(F.col(f"row.`{id_col}`").alias(id_col), "row", "removed", "kept", "kept_text")
