@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daypanel.llm import byte_bpe, fingerprints, language, mixing, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
+from daypanel.llm import byte_bpe, fingerprints, language, mixing, quality, sharding, simhash, spelling, suffix_dedup, token_counts, toxicity
 from daypanel.llm.common import fold_of
 
 SHARDS = 40
@@ -96,12 +96,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_simhash, op3_quality, op4_sharding, op5_toxicity,
         op6_suffix_dedup, op7_fingerprints, op8_mixing, op9_byte_bpe, op10_language,
+        op11_spelling,
     )
 }
 
-SQL: dict[str, str] = {"op3_quality": quality.SQL}
+SQL: dict[str, str] = {"op3_quality": quality.SQL, "op11_spelling": spelling.SQL}
