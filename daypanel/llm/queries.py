@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daypanel.llm import byte_bpe, fingerprints, language, mixing, quality, sharding, simhash, spelling, suffix_dedup, token_counts, toxicity
+from daypanel.llm import byte_bpe, discriminant, fingerprints, language, mixing, quality, ranked_search, sharding, simhash, spelling, suffix_dedup, token_counts, toxicity
 from daypanel.llm.common import fold_of
+from daypanel.session import durable
 
 SHARDS = 40
 MAX_TOKENS = 1024
 HELD_OUT = 2
 TOXIC_FROM = 0.3
+QUALITY_FOLDS = 5
+GOOD_FROM = 0.3
+HITS = 50
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -100,13 +104,28 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.word_counts(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
+    return ranked_search.ranked_search(docs, items, HITS)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality")
+    held_out = fold_of(F.col("doc_id"), QUALITY_FOLDS) == 0
+    measured = durable(discriminant.measure(docs), "statistics")
+    model = discriminant.fit(discriminant.training_rows(measured, labels.where(~held_out)))
+    return discriminant.score(measured, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_simhash, op3_quality, op4_sharding, op5_toxicity,
         op6_suffix_dedup, op7_fingerprints, op8_mixing, op9_byte_bpe, op10_language,
-        op11_spelling,
+        op11_spelling, op12_ranked_search, op13_quality_classifier,
     )
 }
 
-SQL: dict[str, str] = {"op3_quality": quality.SQL, "op11_spelling": spelling.SQL}
+SQL: dict[str, str] = {"op3_quality": quality.SQL, "op11_spelling": spelling.SQL, "op12_ranked_search": ranked_search.SQL}
