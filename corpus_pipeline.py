@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daypanel.llm import byte_bpe, mixing, near_copies, suffix_dedup, toxicity
+from daypanel.llm import byte_bpe, mixing, simhash, suffix_dedup, toxicity
 from daypanel.llm.queries import TOXIC_FROM, toxic_model
 from daypanel.session import durable
 
@@ -27,8 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by five-word shingles (similarity 0.8 or more) stays, the one with the smallest id."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group of fingerprints linked within two bits stays, the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
