@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daypanel.llm.common import SEPARATORS, words
+from daypanel.llm.common import SEPARATORS, bind, words
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the languages served.
@@ -58,44 +58,51 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     ``n_repeat_words`` counts each word once that lies in a ``window``-word window found twice or more in the text.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.col(id_col).alias("id"), text.alias("text"), words(F.col(text_col)).alias("w"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     stops = [F.lit(s) for s in dict.fromkeys(STOP_WORDS)]
-    grams = F.when(
-        F.size("w") >= window,
-        F.transform(
-            F.sequence(F.lit(0), F.size("w") - window),
-            lambda i: F.struct(F.xxhash64(*[F.get("w", i + j) for j in range(window)]).alias("h"), i.alias("i")),
+
+    def repeated(w: Column) -> Column:
+        """Words of ``w`` that lie in a window found twice or more."""
+        place = lambda i: F.struct(F.xxhash64(*[F.get(w, i + j) for j in range(window)]).alias("h"), i.alias("i"))
+        grams = F.when(F.size(w) >= window, F.transform(F.sequence(F.lit(0), F.size(w) - window), place))
+        return F.when(F.size(w) >= window, bind(F.sort_array(grams), covered)).otherwise(F.lit(0).cast("long"))
+
+    def covered(g: Column) -> Column:
+        same = lambda x, j: x["h"] == F.get(g, j)["h"]  # noqa: E731  NULL past the ends, which selects nothing
+        twice = F.filter(g, lambda x, j: same(x, j - 1) | same(x, j + 1))
+        return F.aggregate(
+            F.sort_array(F.transform(twice, lambda x: x["i"])),
+            F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")),
+            lambda a, p: F.struct((a["n"] + F.least(F.lit(window), p - a["last"])).alias("n"), p.alias("last")),
+            lambda a: a["n"].cast("long"),
+        )
+
+    of_words = bind(
+        words(F.col(text_col).cast("string")),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*stops))).cast("long").alias("stops"),
+            repeated(w).alias("repeated"),
         ),
     )
-    counted = base.select(
-        "id",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SEPARATORS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate(F.col("text"), SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^ \t-\r]")).alias("lines"),
-        F.size(F.filter("w", lambda w: F.lower(w).isin(*stops))).cast("long").alias("n_stop_words"),
-        F.sort_array(grams).alias("g"),
-    )
-    same = lambda x, j: x["h"] == F.get("g", j)["h"]  # noqa: E731  NULL past the ends, which selects nothing
-    repeated = F.filter("g", lambda x, j: same(x, j - 1) | same(x, j + 1))
-    spots = F.sort_array(F.transform(repeated, lambda x: x["i"]))
-    covered = F.aggregate(
-        spots,
-        F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")),
-        lambda a, p: F.struct((a["n"] + F.least(F.lit(window), p - a["last"])).alias("n"), p.alias("last")),
-        lambda a: a["n"].cast("long"),
+    of_lines = bind(
+        F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t-\r]")),
+        lambda lines: F.struct(F.size(lines).cast("long").alias("n"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("dups")),
     )
-    return counted.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).alias("n_repeat_words"),
-        "n_stop_words",
+    measured = bind(
+        F.struct(of_words.alias("w"), of_lines.alias("l")),
+        lambda m: F.struct(
+            m["w"]["n"].alias("n_words"),
+            F.length(F.regexp_replace(text, SEPARATORS, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            m["l"]["n"].alias("n_lines"),
+            m["l"]["dups"].alias("n_dup_lines"),
+            m["w"]["repeated"].alias("n_repeat_words"),
+            m["w"]["stops"].alias("n_stop_words"),
+        ),
     )
+    # A filter on the result isn't pushed through a generator, so every text is measured once.
+    return df.select(F.col(id_col).alias("id"), F.inline(F.array(measured))).withColumnRenamed("id", id_col)
 
 
 def apply_rules(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

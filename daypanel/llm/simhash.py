@@ -82,7 +82,9 @@ def links(nodes: DataFrame) -> DataFrame:
     shared = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
     shared = durable(shared, "variants")
     pairs = shared.where("n = 2").select("u", "v").distinct().where(f"bit_count(u ^ v) <= {MAX_BITS}")
-    crowded = variants.join(shared.where("n > 2").select("variant"), "variant", "left_semi").select("fp").distinct()
+    # Both sides are dealt by the variant, so a variant of very many fingerprints can be split; the result is read twice.
+    several = shared.where("n > 2").select("variant").hint("merge")
+    crowded = durable(variants.join(several, "variant", "left_semi").select("fp").distinct(), "crowded")
     centres = crowded.select(
         "fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), p -> fp ^ shiftleft(1L, p)))")).alias("centre")
     )

@@ -2,10 +2,11 @@
 
 Learning: a word stands for itself and for its stems (its first ``STEMS`` characters). They are counted in toxic and clean training texts, n
 occurrences in one text as 1 + ln n, so a text that repeats a word teaches little more than one that has it once; log-odds with a
-Dirichlet prior (the background rates times ``PRIOR``) and their z-scores pick the lexicon, one word or stem of each family. A score is the
-log of its rate inside a toxic passage over its rate in clean text, every other word shares one negative score; the exponentials of
-the scores average to 1 over clean text, so the extreme-value parameter lambda is 1 by construction, and K is fitted to the best segments of
-clean training texts.
+Dirichlet prior (the background rates times ``PRIOR``) and their z-scores pick the lexicon: tokens of z-score ``MIN_Z``, and, where few texts teach and
+the prior keeps z-scores small, tokens near the largest one whose counts are too unlikely to be chance among all that were tested. Of each family
+of words and stems the least likely one stays. A score is the log of its rate inside a toxic passage over its rate in clean text, every
+other word shares one negative score; the exponentials of the scores average to 1 over clean text, so the extreme-value parameter lambda
+is 1 by construction, and K is fitted to the best segments of clean training texts.
 
 Scoring: a linear-time scan (Ruzzo and Tompa's stack) finds all maximal segments of a text; a segment of score S in n tokens is
 expected ``K n exp(-S)`` times by chance and is a toxic passage if that is at most ``MAX_EXPECTED``. The evidence of a text is the sum of
@@ -14,7 +15,11 @@ expected ``K n exp(-S)`` times by chance and is a toxic passage if that is at mo
 The classifier is fitted on at most ``MAX_ROWS`` labelled rows (smallest hash of the id), a documented bound; every row is scored whole.
 
 Defined cases: NULL or empty text has no passage and scores as a text without any; a training label that is NULL teaches nothing, a repeated id
-teaches once, with its largest label; without toxic or without clean training rows every score is 0; ids may be NULL or repeat.
+teaches once for each text, with its largest label, and equal texts teach once; without toxic or without clean training rows, or if no token
+stands out, the lexicon is empty, every score is 0 and nothing is rejected; ids may be NULL or repeat; an empty table gives an empty one;
+other columns are left out of the scores and kept by :func:`drop_toxic`. At most ``MAX_LEXICON`` tokens, the least likely ones, come to the
+driver. A text is held whole in one task, with memory in proportion to its length. Passages are given in characters of the
+lower-cased text, which is longer than the text where lower-casing lengthens a character.
 """
 
 from __future__ import annotations
@@ -28,16 +33,19 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.llm.common import slices, texts_of
 
 MAX_ROWS = 50_000
 MAX_LEXICON = 20_000
-#: Weight of the background rates, in counted words; least z-score of a toxic token; rate of toxic tokens inside a passage.
+#: Weight of the background rates, in counted words; least z-score of a toxic token; share of the largest z-score from which unlikely tokens enter below it.
 PRIOR = 10_000.0
 MIN_Z = 3.0
+NEAR_BEST = 0.7
+#: Share of false tokens among the unlikely ones; rate of toxic tokens inside a passage.
+FALSE_SHARE = 0.05
 PASSAGE_RATE = 0.02
 MAX_EXPECTED = 0.05
 
@@ -53,6 +61,16 @@ def units(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if n <= len(word))]
 
 
+class _Units(dict):
+    """Units of every word met; starts again when it is full."""
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) >= CACHE_SIZE // 8:
+            self.clear()
+        self[word] = found = units(word)
+        return found
+
+
 class _Scores(dict):
     """Score of every word met, 0 for those outside the lexicon; starts again when it is full."""
 
@@ -135,12 +153,12 @@ def passages_of(text: str, model: ToxicModel, most: float = MAX_EXPECTED) -> lis
     """Toxic passages ``(start, end, score, expected)`` in characters of ``text``."""
     low = text.lower()
     tokens = _TOKEN.findall(low)
-    hits = _hits(tokens, model.known)
-    if not hits:
+    found = [(a, b, s, model.k * len(tokens) * math.exp(-s)) for a, b, s in maximal_segments(_hits(tokens, model.known), model.other)]
+    found = [f for f in found if f[3] <= most]
+    if not found:
         return []
     spans = [m.span() for m in _TOKEN.finditer(low)]
-    found = [(a, b, s, model.k * len(tokens) * math.exp(-s)) for a, b, s in maximal_segments(hits, model.other)]
-    return [(spans[a][0], spans[b][1], s, e) for a, b, s, e in found if e <= most]
+    return [(spans[a][0], spans[b][1], s, e) for a, b, s, e in found]
 
 
 def evidence(expected: list[float]) -> float:
@@ -149,12 +167,13 @@ def evidence(expected: list[float]) -> float:
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each word and stem its occurrences in clean texts, and its damped counts in clean and in toxic texts."""
+    known = _Units()
     for batch in slices(batches):
         used, damped = Counter(), (Counter(), Counter())
         for text, toxic in zip(texts_of(batch), batch.column("toxic").to_pylist(), strict=True):
             tokens: Counter = Counter()
             for word, n in Counter(_TOKEN.findall(text.lower())).items():
-                for unit in units(word):
+                for unit in known[word]:
                     tokens[unit] += n
             for unit, n in tokens.items():
                 damped[toxic][unit] += 1 + math.log(n)
@@ -200,15 +219,38 @@ def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(beta[0]), float(max(beta[1], 0.0))
 
 
+def chance_of(toxic: Column, clean: Column, share: float) -> Column:
+    """Logarithm of a bound on the chance that ``toxic`` or more of the counts fall to toxic text, whose share of all words is ``share``.
+
+    The bound is Chernoff's; counts that lean to clean text have chance 1, and the logarithm is at least -1,000.
+    """
+    n = toxic + clean
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * F.lit(p)))).otherwise(0.0)
+    return F.when(toxic > n * F.lit(share), F.greatest(-(part(toxic, share) + part(clean, 1 - share)), F.lit(-1000.0))).otherwise(0.0)
+
+
+def most_likely_chance(levels: list[tuple[float, int]], false_share: float = FALSE_SHARE) -> float:
+    """Largest logarithm of a chance at which tokens still enter (Benjamini and Hochberg); ``levels`` are logarithms and numbers of tokens."""
+    tested, taken, limit = sum(n for _, n in levels), 0, -math.inf
+    for level, n in sorted(levels):
+        taken += n
+        if level <= math.log(false_share * taken / tested):
+            limit = level
+    return limit
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Text and label (0 or 1) of at most ``max_rows`` labelled documents, the smallest hashes of the id.
+    """Text and label (0 or 1) of at most ``max_rows`` labelled documents, the smallest hashes of the id; equal texts teach once.
 
     The ids chosen are ``max_rows`` numbers at most, so they are broadcast and the texts stay where they are.
     """
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key"))
     chosen = one.agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "key").select("text", "toxic")
+    hashed = rows.select("key", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "key")
+    distinct = hashed.groupBy("h").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic"))
+    distinct = distinct.groupBy("key", "h").agg(F.max("toxic").alias("toxic"))
+    return rows.withColumn("h", F.xxhash64("text")).join(distinct, ["key", "h"]).select("text", "toxic")
 
 
 def fit(rows: DataFrame) -> ToxicModel:
@@ -225,9 +267,16 @@ def fit(rows: DataFrame) -> ToxicModel:
     prior = F.lit(PRIOR / (n0 + n1)) * (F.col("clean") + F.col("toxic"))
     odds = lambda c, n: F.log((F.col(c) + prior) / (F.lit(n + PRIOR) - F.col(c) - prior))
     z = (odds("toxic", n1) - odds("clean", n0)) / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    kept = counts.select("*", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc(F.round("z", 6)), "token").limit(MAX_LEXICON)
-    found = {r["token"]: (r["used"], r["toxic"], r["z"]) for r in kept.collect()}  # MAX_LEXICON rows at most
-    ranked = sorted(found, key=lambda u: (-found[u][2], u.endswith("*"), -len(u), u))
+    chance = chance_of(F.col("toxic"), F.col("clean"), n1 / (n0 + n1))
+    tested = counts.select("*", F.round(z, 6).alias("z"), F.round(chance, 2).alias("chance")).where("token IS NOT NULL")
+    levels = tested.groupBy("chance").agg(F.count(F.lit(1)).alias("n")).collect()  # a hundredth of a natural logarithm each
+    limit = most_likely_chance([(r["chance"], r["n"]) for r in levels])
+    likely = F.col("chance") <= F.lit(limit)
+    largest = tested.where(likely).agg(F.max("z")).first()[0] or MIN_Z
+    few = likely & (F.col("z") >= F.lit(NEAR_BEST * largest))
+    kept = tested.where((F.col("z") >= MIN_Z) | few).orderBy("chance", "token").limit(MAX_LEXICON)
+    found = {r["token"]: (r["used"], r["toxic"], r["chance"]) for r in kept.collect()}  # MAX_LEXICON rows at most
+    ranked = sorted(found, key=lambda u: (found[u][2], u.endswith("*"), -len(u), u))
     lexicon = {u: found[u][:2] for u in one_of_each_family(ranked)}
     counts.unpersist()
     while True:  # tokens that speak against a passage leave, and the rest share its rate

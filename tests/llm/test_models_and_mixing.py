@@ -50,6 +50,36 @@ def test_toxicity(docs, rows, nothing, spark):
     assert toxicity.training_rows(docs, labels, max_rows=5).count() <= 9
 
 
+def test_few_toxic_texts_teach(spark):
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in ("st", "gr", "pl") for b in "aeiou" for c in ("nt", "rd", "m", "ck")]
+    plain = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = [(i, " ".join(plain(300)), 0) for i in range(55)]
+    rows += [(100 + i, " ".join([*plain(150), "idiot", *plain(3), "scum", "idiot", *plain(140)]), 1) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(toxicity.training_rows(df, df))
+    assert {"idiot", "scum"} <= set(model.scores) and len(model.scores) <= 6
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert all((found[i] >= 0.3) == bool(toxic) for i, _, toxic in rows)
+
+
+def test_chances():
+    share = 0.1
+    for toxic, clean in ((5, 0), (8, 3), (40, 20)):  # the bound is no smaller than the chance itself
+        n = toxic + clean
+        exact = sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(toxic, n + 1))
+        bound = toxic * math.log(toxic / (n * share)) + (clean * math.log(clean / (n * (1 - share))) if clean else 0)
+        assert math.exp(-bound) >= exact * (1 - 1e-9)
+    assert toxicity.most_likely_chance([(-20.0, 2), (-9.0, 3), (0.0, 9_995)]) == -20.0
+    assert toxicity.most_likely_chance([(0.0, 50)]) == -math.inf
+
+
+def test_equal_texts_teach_once(spark):
+    docs = spark.createDataFrame([(1, "same"), (2, "same"), (3, "same"), (4, "other"), (4, "fourth"), (5, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 2)) for i in range(1, 6)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.training_rows(docs, labels).collect())) == [("fourth", 0), ("other", 0), ("same", 1)]
+
+
 def test_passages_point_at_the_words():
     model = toxicity.ToxicModel({"idiot": 9.0, "scum": 9.0}, -0.1, 0.01, 1.0, -3.0)
     text = "Fine words. You IDIOT, scum! " + "calm " * 300 + "scum"
@@ -77,7 +107,46 @@ def test_cross_parsing_against_search():
             while at + size < len(text) and text[at : at + size + 1] in sample:
                 size += 1
             n, at = n + 1, at + (size if text[at] in sample else 1)
-        assert language.SuffixAutomaton(sample).phrases(text) == n
+        assert language.SuffixAutomaton(sample).phrases(text) == (n, len(text))
+
+
+def test_languages_that_cannot_win_stop_early():
+    rng = random.Random(7)
+    automata = [(lang, language.SuffixAutomaton("".join(rng.choices(letters, k=400)))) for lang, letters in (("a", "abcd "), ("b", "bcde "), ("c", "xyz "))]
+    stopped = 0
+    for letters in ("abcd ", "bcde ", "xyz ", "abcdexyz "):
+        text = language.normalise("".join(rng.choices(letters, k=5_000)))
+        costs = sorted((a.phrases(text)[0] * a.bits, lang) for lang, a in automata)
+        assert language.classify(text, automata)[0] == costs[0][1]
+        for _, a in automata:
+            n, read = a.phrases(text, costs[0][0] / a.bits)
+            assert n * a.bits > costs[0][0] or read == len(text)
+            stopped += read < len(text)
+    assert stopped >= 4
+
+
+def test_what_is_no_letter_has_no_language(spark):
+    rows = [(1, "²½ Ⅷ", "es"), (2, "casa grande", "es"), (3, "12 !!", "de"), (4, "haus", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(df, language.learn(df)).collect()}
+    assert found == {1: "und", 2: "es", 3: "und", 4: "de"}
+
+
+def test_every_one_of_many_languages_is_learned(spark):
+    alphabet = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(i, f"{c}{c}{c} {c}" * 30, f"x{i:03d}") for i, c in enumerate(alphabet) for _ in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.learn(df, total_chars=30_000)
+    assert len(sample) == 300 and max(len(t) for _, t in sample) <= 110
+    found = language.predict(df.where("doc_id % 50 = 0").distinct(), sample).collect()
+    assert len(found) == 6 and all(r["lang_pred"] == f"x{r['doc_id']:03d}" for r in found)
+
+
+def test_sample_is_spread_over_a_text(spark):
+    text = "".join(chr(97 + i // 100) for i in range(2_000))
+    df = spark.createDataFrame([(text, "zz"), ("short", "zz")], "text string, lang string")
+    ((_, sample),) = language.learn(df, sample_rows=2, sample_chars=400)
+    assert {"a", "g", "h", "t"} <= set(sample) and "short" in sample and len(sample) <= 400
 
 
 def test_language(docs, rows, nothing, spark):

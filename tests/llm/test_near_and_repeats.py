@@ -126,6 +126,8 @@ def test_suffix_array():
 
 def test_kept_text_has_whole_characters_only(spark):
     shared = "é" * 150
-    rows = [(1, "a" + shared + "è"), (2, "bc" + shared + "ü"), (3, "é" * 99)]
+    # "è" and "ü" begin with the byte that "é" begins with, so that byte ends a repeated string and only half a character is left.
+    rows = [(1, "a" + shared + "è"), (2, "bc" + shared + "ü"), (3, "é" * 99), (4, "xà" + "y" * 250 + "œ!"), (5, "zà" + "y" * 250 + "w")]
     cut = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert cut[1]["kept_text"] == "aè" and cut[2]["kept_text"] == "bcü" and cut[3]["kept_text"] == "é" * 99
+    assert {k: r["kept_text"] for k, r in cut.items()} == {1: "a", 2: "bc", 3: "é" * 99, 4: "xœ!", 5: "zw"}
+    assert cut[1]["kept"] == b"a" + "è".encode()[1:] and cut[5]["kept"] == b"zw"

@@ -42,6 +42,13 @@ def test_quality_stays_in_the_jvm(spark):
 def test_rules_can_be_replaced(docs):
     nobody = quality.quality(docs, rules=(quality.Rule("none", "n_words", -2, -1),))
     assert nobody.where("kept").count() == 0
+    assert quality.quality(docs).where("kept").count() == sum(r["kept"] for r in quality.quality(docs).collect())
+
+
+def test_a_filter_measures_each_text_once(docs):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = quality.quality(docs)
+    assert plan(found.where("kept")).count("sort_array") == plan(found).count("sort_array") == 2
 
 
 def test_shards(docs, rows, nothing):
