@@ -161,7 +161,7 @@ def learn(
     wanted = [(r["lang"], min(span, math.ceil(span * 4 * taken_rows / max(1, r["distinct"])))) for r in counted]
     limits = df.sparkSession.createDataFrame(wanted, "lang string, below long")
     place = F.pmod(F.col("h"), F.lit(span))
-    near = rows.join(limits, "lang").where(place < F.col("below"))
+    near = rows.join(F.broadcast(limits), "lang").where(place < F.col("below"))  # a row a language
     distinct = near.select("lang", "h", _spread(F.col("text"), max(PIECES, chars // taken_rows)).alias("text")).dropDuplicates(["lang", "h"])
     first = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
     taken = distinct.withColumn("rank", first).where(F.col("rank") <= taken_rows)
