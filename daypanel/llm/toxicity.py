@@ -15,7 +15,7 @@ expected ``K n exp(-S)`` times by chance and is a toxic passage if that is at mo
 The classifier is fitted on at most ``MAX_ROWS`` labelled rows (smallest hash of the id), a documented bound; every row is scored whole.
 
 Defined cases: NULL or empty text has no passage and scores as a text without any; a training label that is NULL teaches nothing, a repeated id
-teaches once for each text, with its largest label, and equal texts teach once; without toxic or without clean training rows, or if no token
+teaches once, with one of its texts and its largest label, and equal texts teach once; without toxic or without clean training rows, or if no token
 stands out, the lexicon is empty, every score is 0 and nothing is rejected; ids may be NULL or repeat; an empty table gives an empty one;
 other columns are left out of the scores and kept by :func:`drop_toxic`. At most ``MAX_LEXICON`` tokens, the least likely ones, come to the
 driver. A text is held whole in one task, with memory in proportion to its length. Passages are given in characters of the
@@ -240,17 +240,18 @@ def most_likely_chance(levels: list[tuple[float, int]], false_share: float = FAL
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Text and label (0 or 1) of at most ``max_rows`` labelled documents, the smallest hashes of the id; equal texts teach once.
+    """Text and label (0 or 1) of at most ``max_rows`` labelled documents, the smallest hashes of the id.
 
-    The ids chosen are ``max_rows`` numbers at most, so they are broadcast and the texts stay where they are.
+    An id teaches with one of its texts and a text under one of its ids, the smallest hash and the smallest id; the largest of its labels
+    counts. Ids and hashes are ``max_rows`` rows at most, so they are broadcast and the texts stay where they are.
     """
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key"))
     chosen = one.agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     hashed = rows.select("key", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "key")
-    distinct = hashed.groupBy("h").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic"))
-    distinct = distinct.groupBy("key", "h").agg(F.max("toxic").alias("toxic"))
-    return rows.withColumn("h", F.xxhash64("text")).join(distinct, ["key", "h"]).select("text", "toxic")
+    single = hashed.groupBy("key").agg(F.min("h").alias("h"), F.max("toxic").alias("toxic"))
+    distinct = single.groupBy("h").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic"))
+    return rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(distinct), ["key", "h"]).select("text", "toxic")
 
 
 def fit(rows: DataFrame) -> ToxicModel:
