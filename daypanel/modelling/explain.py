@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daypanel.modelling.search import PREDICTION
 from daypanel.operators.order import hashed_rank, order_statistics
 from daypanel.schema import DATE, ENTITY
+from daypanel.session import durable
 
 
 def permutation_importance(
@@ -18,25 +19,23 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean squared change of the model's output when one feature is shuffled over the rows.
 
-    The shuffle of a feature gives each row the value of the row a fixed distance further in a
-    hashed order, so it is a permutation, repeatable, and an equi-join on the rank.
+    A row gets the value of the row a fixed distance further in a hashed order, so it is a permutation, repeatable, and an equi-join on
+    the rank. The distance is the same for all features, so one join brings the partner's whole row; it is unfolded to one row a feature
+    after the join and reduced before the next shuffle. What is shuffled grows with the features, not with their square.
     """
     names = list(features)
     ranked = hashed_rank(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]), keys, seed)
-    base = model.transform(ranked).select("rank0", "n_rows", *names, F.col(PREDICTION).alias("base"))
-    shift = F.lit(1) + F.pmod(F.xxhash64(F.lit(seed), F.col("feature")), F.greatest(F.col("n_rows") - 1, F.lit(1)))
-    wanted = base.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in names]))).withColumn(
-        "from_rank", F.pmod(F.col("rank0") + shift, F.col("n_rows"))
+    ranked = durable(ranked.select("rank0", "n_rows", *names), "ranked")
+    further = F.lit(1) + F.pmod(F.xxhash64(F.lit(seed)), F.greatest(F.col("n_rows") - 1, F.lit(1)))
+    base = model.transform(ranked).select(
+        *names, F.col(PREDICTION).alias("base"), F.pmod(F.col("rank0") + further, F.col("n_rows")).alias("rank0")
     )
-    values = ranked.unpivot(["rank0"], names, "feature", "shuffled").withColumnRenamed("rank0", "from_rank")
-    swapped = wanted.join(values, ["feature", "from_rank"]).select(
-        "feature",
-        "base",
-        *[F.when(F.col("feature") == c, F.col("shuffled")).otherwise(F.col(c)).alias(c) for c in names],
-    )
-    changed = model.transform(swapped)
+    partners = ranked.select("rank0", *[F.col(c).alias(f"_p_{c}") for c in names])
+    swaps = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_p_{c}").alias("shuffled")) for c in names])
+    swapped = base.join(partners, "rank0").select(*names, "base", F.inline(swaps))
+    swapped = swapped.select("feature", "base", *[F.when(F.col("feature") == c, F.col("shuffled")).otherwise(F.col(c)).alias(c) for c in names])
     delta = F.col("base") - F.col(PREDICTION)
-    return changed.groupBy("feature").agg(F.avg(delta * delta).alias("importance"))
+    return model.transform(swapped).groupBy("feature").agg(F.avg(delta * delta).alias("importance"))
 
 
 def feature_grids(
@@ -60,20 +59,10 @@ def feature_grids(
 
     picks = {f"{side}{step}": position(p, step) for side, p in (("low", low), ("high", high)) for step in (0, 1)}
     ends = {r["feature"]: r for r in order_statistics(long, "value", picks, ["feature"]).collect()}
-    few = {
-        r["feature"]: r["values"]
-        for r in long.where(F.col("value").isNotNull())
-        .groupBy("feature")
-        .agg(F.approx_count_distinct("value").alias("about"))
-        .where(F.col("about") < 2 * points)
-        .select("feature")
-        .join(long, "feature")
-        .where(F.col("value").isNotNull())
-        .distinct()
-        .groupBy("feature")
-        .agg(F.sort_array(F.collect_set("value")).alias("values"))
-        .collect()
-    }
+    known = long.where(F.col("value").isNotNull())
+    kept = F.row_number().over(Window.partitionBy("feature").orderBy("value"))
+    fewest = known.distinct().withColumn("_at", kept).where(F.col("_at") <= points)  # one more than makes a feature one of few values
+    few = {r["feature"]: r["values"] for r in fewest.groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("values")).collect()}
 
     def edge(c: str, side: str, p: float) -> float:
         n = ends[c]["n"]

@@ -58,20 +58,27 @@ def _change_columns(cfg: FeatureConfig, w: WindowSpec) -> list[Column]:
 
 
 def window_columns(df: DataFrame, cfg: FeatureConfig, w: WindowSpec) -> list[Column]:
-    """Every feature that looks along the series, all over the same window."""
+    """Every feature that looks back to single rows, all over the same window."""
     has = set(df.columns)
     out: list[Column] = []
     if cfg.target in has:
         out += series.lag_columns(cfg.target, cfg.lags, w)
-        out += series.rolling_columns(cfg.target, cfg.windows, cfg.stats, w, cfg.include_current)
         out += _change_columns(cfg, w)
     for name in cfg.covariates:
         if name in has:
             out += series.lag_columns(name, cfg.covariate_lags, w)
-    if cfg.precip in has:
-        out += series.rolling_columns(cfg.precip, cfg.windows, cfg.stats, w)
-        out += series.cumulative_columns(cfg.precip, w, cfg.sum_windows)
-        out.append(series.dry_day_column(cfg.precip, w))
+    return out
+
+
+def window_frames(df: DataFrame, cfg: FeatureConfig) -> list[series.Frame]:
+    """Every feature of trailing rows."""
+    out: list[series.Frame] = []
+    if cfg.target in df.columns:
+        out += series.rolling_frames(cfg.target, cfg.windows, cfg.stats, cfg.include_current)
+    if cfg.precip in df.columns:
+        out += series.rolling_frames(cfg.precip, cfg.windows, cfg.stats)
+        out += series.cumulative_frames(cfg.precip, cfg.sum_windows)
+        out.append(series.dry_day_frame(cfg.precip))
     return out
 
 
@@ -98,9 +105,8 @@ def engineer_features(df: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Da
     """All features of all entities, without the warm-up rows. Constant columns are pruned by a
     fitted step (:func:`daypanel.operators.fitted.fit_pruning`), so that scoring never drops columns."""
     placed = df if "pos" in df.columns else with_position(df)
-    reach = max(max(cfg.lags, default=1), max(cfg.windows, default=1), max(cfg.covariate_lags, default=1), 7, 2) + 1
-    reach = max(reach, max(cfg.sum_windows, default=1))
-    framed = series.over_series(placed, lambda w: window_columns(df, cfg, w), before=reach)
+    reach = max(2, *cfg.lags, *cfg.covariate_lags)
+    framed = series.over_series(placed, lambda w: window_columns(df, cfg, w), before=reach, frames=window_frames(df, cfg))
     wide = framed.select("*", *row_columns(df, cfg)).where(F.col("pos") > cfg.warmup_rows)
     return wide if "pos" in df.columns else wide.drop("pos")
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daypanel.operators import order, panel, series
+from daypanel.operators import order, panel, resample, series
 from daypanel.operators.features import select_features, value_columns
 from daypanel.schema import TARGET
 from daypanel.session import durable
@@ -133,31 +133,40 @@ class Prepared:
     features: list[str]
 
 
-def fit_params(
-    train: DataFrame, target: str = TARGET, max_missing: float = 0.3, scaling: str = "standard"
-) -> DataFrame:
-    """Learn which columns to drop, the fill medians (after carrying values forward) and the scaling."""
-    spark = train.sparkSession
+def _fit(train: DataFrame, target: str, max_missing: float, scaling: str, materialize: bool) -> tuple[list[tuple], DataFrame]:
+    """Rows of :data:`PARAMS_SCHEMA`, and the training rows with known values carried forward.
+
+    The carried rows are what medians and scaling are learned from and what is filled and scaled afterwards, so they are written once.
+    """
     inputs = [c for c in select_features(train) if c != target]
     dropped = set(fit_sparse(train, max_missing, inputs))
     kept = [c for c in inputs if c not in dropped]
     carried = series.ffill(train, kept)
+    if materialize:
+        carried = durable(carried, "carried")
     medians = {r["column"]: r["median"] for r in column_medians(carried, kept).collect()}
-    filled = fill_medians(carried, medians)
     fit = fit_standard if scaling == "standard" else fit_minmax
-    spread = {r["column"]: r for r in fit(filled, kept).collect()}
+    spread = {r["column"]: r for r in fit(fill_medians(carried, medians), kept).collect()}
     rows = [
         (c, i, c in dropped, medians.get(c), *((spread[c]["center"], spread[c]["scale"]) if c in spread else (None, None)))
         for i, c in enumerate(inputs)
     ]
-    return spark.createDataFrame(rows, PARAMS_SCHEMA)
+    return rows, carried
 
 
-def apply_params(df: DataFrame, params: Sequence, keep: Sequence[str]) -> DataFrame:
-    """Carry values forward, fill with the fitted medians and scale; never drops or learns anything."""
+def fit_params(
+    train: DataFrame, target: str = TARGET, max_missing: float = 0.3, scaling: str = "standard"
+) -> DataFrame:
+    """Learn which columns to drop, the fill medians (after carrying values forward) and the scaling."""
+    rows, _ = _fit(train, target, max_missing, scaling, False)
+    return train.sparkSession.createDataFrame(rows, PARAMS_SCHEMA)
+
+
+def apply_params(df: DataFrame, params: Sequence, keep: Sequence[str], carried: bool = False) -> DataFrame:
+    """Carry values forward (unless that is done), fill with the fitted medians and scale; never drops or learns anything."""
     used = sorted((p for p in params if not p["dropped"]), key=lambda p: p["place"])
     names = [p["column"] for p in used]
-    carried = series.ffill(df, [c for c in names if c in df.columns])
+    carried = df if carried else series.ffill(df, [c for c in names if c in df.columns])
     shaped = apply_feature_schema(carried, names, keep)
     filled = fill_medians(shaped, {p["column"]: p["median"] for p in used})
     return scale_columns(filled, used)
@@ -165,8 +174,8 @@ def apply_params(df: DataFrame, params: Sequence, keep: Sequence[str]) -> DataFr
 
 def preprocess(
     df: DataFrame,
-    train_end: str,
-    test_start: str,
+    train_end: str | None = None,
+    test_start: str | None = None,
     train_start: str | None = None,
     test_end: str | None = None,
     target: str = TARGET,
@@ -174,25 +183,34 @@ def preprocess(
     scaling: str = "standard",
     max_train_rows: int | None = None,
     materialize: bool = True,
+    train_fraction: float = 0.8,
+    oversample_share: float | None = None,
+    seed: int = 42,
 ) -> Prepared:
     """Valid targets, split by time, optional row cap, then fit on the training rows and apply to both.
 
-    Fitting reads the rows several times and training many more, so with ``materialize`` the features
-    and the prepared training rows are each written once to the shared folder.
+    Without both dates the first ``train_fraction`` of the rows in date order are for training. With ``oversample_share`` noisy copies of
+    extreme rows are appended to the prepared training rows, marked by ``is_synthetic``; nothing is learned from them. Fitting reads
+    the rows several times and training many more, so with ``materialize`` the features, the training rows with values carried
+    forward and the prepared training rows are each written once to the shared folder.
     """
     valid = panel.drop_invalid_target(df, target)
     if materialize:
         valid = durable(valid, "features")
-    train, test = panel.temporal_split(valid, train_end, test_start, train_start, test_end)
+    if train_end and test_start:
+        train, test = panel.temporal_split(valid, train_end, test_start, train_start, test_end)
+    else:
+        marked = order.fraction_split(valid, train_fraction)
+        marked = durable(marked, "split") if materialize else marked
+        train, test = (marked.where(F.col("split") == part).drop("split") for part in ("train", "test"))
     if max_train_rows:
         train = order.stride_sample(train, max_train_rows)
-    params = fit_params(train, target, max_missing, scaling)
+    found, carried = _fit(train, target, max_missing, scaling, materialize)
+    params = df.sparkSession.createDataFrame(found, PARAMS_SCHEMA)
     rows = params.collect()
     keep = [c for c in df.columns if c in ("catchment_id", "date", "basin") or c == target]
-    prepared = apply_params(train, rows, keep)
-    return Prepared(
-        durable(prepared, "train") if materialize else prepared,
-        apply_params(test, rows, keep),
-        params,
-        [r["column"] for r in sorted(rows, key=lambda r: r["place"]) if not r["dropped"]],
-    )
+    features = [r["column"] for r in sorted(rows, key=lambda r: r["place"]) if not r["dropped"]]
+    prepared = apply_params(carried, rows, keep, carried=True)
+    if oversample_share is not None:
+        prepared = resample.oversample_extremes(prepared, features, oversample_share, target, seed)
+    return Prepared(durable(prepared, "train") if materialize else prepared, apply_params(test, rows, keep), params, features)

@@ -22,11 +22,17 @@ def calibration_split(df: DataFrame, share: float = 0.2, at_least: int = 20, nee
     return ranked.withColumn("part", F.when(late, "calibration").otherwise("fit")).drop("rank0", "n_rows")
 
 
-def condition_columns(df: DataFrame, lag: str, cuts: Sequence[float]) -> DataFrame:
-    """The group a row is predicted from: its season and the bucket of a past value (-1 if unknown)."""
+def condition_columns(df: DataFrame, lag: str, cuts: Sequence[float] | DataFrame) -> DataFrame:
+    """The group a row is predicted from: its season and the bucket of a past value (-1 if unknown).
+
+    The borders are numbers, or the one row of :func:`lag_cut_row`, which is attached as a scalar subquery.
+    """
+    if isinstance(cuts, DataFrame):
+        names = cuts.columns
+        return condition_columns(attach(df, cuts), lag, [F.col(c) for c in names]).drop(*names)
     bucket = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):
-        bucket = F.when(F.col(lag) < float(cut), F.lit(i)).otherwise(bucket)
+        bucket = F.when(F.col(lag) < (cut if isinstance(cut, Column) else float(cut)), F.lit(i)).otherwise(bucket)
     return df.withColumn("season", season_name(F.col(DATE))).withColumn(
         "lag_bucket", F.when(F.col(lag).isNull(), F.lit(-1)).otherwise(bucket)
     )
@@ -93,8 +99,12 @@ def interval_series(df: DataFrame, limit: int = 400) -> DataFrame:
     return df.select(DATE, ENTITY, OBS, "lo", "med", "hi").orderBy(DATE, ENTITY).limit(limit)
 
 
-def lag_cuts(df: DataFrame, lag: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> list[float]:
-    """Bucket borders of a past value, learned from the fit rows (a handful of numbers)."""
-    row = quantiles(df, lag, {f"c{i}": q for i, q in enumerate(probs)}).head()
-    return [row[f"c{i}"] for i in range(len(probs))] if row else []
+def lag_cut_row(df: DataFrame, lag: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Bucket borders of a past value, learned from the fit rows, as one row."""
+    return quantiles(df, lag, {f"_cut{i}": q for i, q in enumerate(probs)})
+
 
+def lag_cuts(df: DataFrame, lag: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> list[float]:
+    """The borders of :func:`lag_cut_row` as numbers."""
+    row = lag_cut_row(df, lag, probs).head()
+    return list(row) if row else []

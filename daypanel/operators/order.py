@@ -81,14 +81,20 @@ def global_rank(
     return ranked.drop("_digest", "_part", "_part_start", "_day_start")
 
 
-def hashed_rank(df: DataFrame, keys: Sequence[str], seed: int = 42, rank: str = "rank0", total: str = "n_rows") -> DataFrame:
-    """0-based rank in an order drawn from the hash of the row keys: a repeatable shuffle of the table."""
-    marked = df.withColumn("_draw", F.xxhash64(F.lit(seed), *keys)).withColumn(
-        "_part", F.shiftrightunsigned("_draw", 54).cast("int")
-    )
-    # The unsigned top bits order the parts; inside a part the rest of the draw and the keys decide.
-    parts = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    everything = Window.orderBy("_part")
+def hashed_rank(
+    df: DataFrame, keys: Sequence[str], seed: int = 42, rank: str = "rank0", total: str = "n_rows", coarse_bits: int = 10, fine_bits: int = 10
+) -> DataFrame:
+    """0-based rank in an order drawn from the hash of the row keys: a repeatable shuffle of the table.
+
+    Rows are counted under the top bits of the draw on two levels, so that one task orders about one row in ``2 ** (coarse_bits + fine_bits)``.
+    """
+    draw = F.xxhash64(F.lit(seed), *keys)
+    top = lambda bits: F.shiftrightunsigned("_draw", bits).cast("int")
+    marked = df.withColumn("_draw", draw).withColumn("_part", top(64 - coarse_bits)).withColumn("_sub", top(64 - coarse_bits - fine_bits))
+    # The unsigned top bits order the parts and the sub-parts in them; inside a sub-part the rest of the draw and the keys decide.
+    subs = marked.groupBy("_part", "_sub").agg(F.count(F.lit(1)).alias("_rows"))
+    parts = subs.groupBy("_part").agg(F.sum("_rows").alias("_rows"))
+    everything = Window.orderBy("_part")  # at most ``2 ** coarse_bits`` rows
     starts = parts.select(
         "_part",
         F.coalesce(F.sum("_rows").over(everything.rowsBetween(*_BEFORE)), F.lit(0)).alias("_start"),
@@ -96,11 +102,13 @@ def hashed_rank(df: DataFrame, keys: Sequence[str], seed: int = 42, rank: str =
         .over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         .alias(total),
     )
-    inside = Window.partitionBy("_part").orderBy("_draw", *keys)
+    earlier = F.coalesce(F.sum("_rows").over(Window.partitionBy("_part").orderBy("_sub").rowsBetween(*_BEFORE)), F.lit(0))
+    placed = subs.select("_part", "_sub", earlier.alias("_inner")).join(starts, "_part")
+    inside = Window.partitionBy("_part", "_sub").orderBy("_draw", *keys)
     return (
-        marked.join(F.broadcast(starts), "_part")  # at most 1,024 rows
-        .withColumn(rank, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_draw", "_part", "_start")
+        marked.join(placed, ["_part", "_sub"])
+        .withColumn(rank, F.col("_start") + F.col("_inner") + F.row_number().over(inside) - 1)
+        .drop("_draw", "_part", "_sub", "_start", "_inner")
     )
 
 
@@ -275,5 +283,8 @@ def time_series_folds(
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str] = (ENTITY, DATE), seed: int = 42) -> DataFrame:
-    """``n`` distinct rows chosen by the hash of their keys: the same rows for any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """``n`` distinct rows chosen by the hash of their keys: the same rows for any partitioning.
+
+    The hash is that of the seed and the keys as text, joined by a bar; a NULL key is left out of it.
+    """
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)

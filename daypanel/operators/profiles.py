@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.operators.order import attach, quantiles
 from daypanel.schema import DATE, PRECIP, TARGET
 
-PAIRS_PER_JOB = 200
-
 
 def _unfold(df: DataFrame, structs: dict[str, Column]) -> DataFrame:
     """One aggregate over one scan, whose struct results become rows."""
@@ -66,53 +66,85 @@ def monthly_climatology(df: DataFrame, columns: Sequence[str] = (TARGET, PRECIP)
     return df.groupBy(F.month(DATE).alias("month")).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
 
 
+class CoMoments:
+    """Rows, means and centred products of all pairs of columns, over the rows where both are known; two of them can be merged.
+
+    ``mean[i, j]`` and ``square[i, j]`` belong to column i over the rows of the pair (i, j).
+    """
+
+    def __init__(self, n: np.ndarray, mean: np.ndarray, cross: np.ndarray, square: np.ndarray):
+        self.n, self.mean, self.cross, self.square = n, mean, cross, square
+
+    @classmethod
+    def of(cls, values: np.ndarray, known: np.ndarray) -> CoMoments:
+        """By matrix products; values are taken relative to the first known one of their column, so a flat column has no spread at all."""
+        first = values[known.argmax(0), np.arange(values.shape[1])]
+        first = np.where(known.any(0), first, 0.0)
+        x, m = np.where(known, values - first, 0.0), known.astype(float)
+        n = m.T @ m
+        some = np.maximum(n, 1.0)
+        total = x.T @ m
+        cross, square = x.T @ x - total * total.T / some, (x * x).T @ m - total * total / some
+        return cls(n, np.where(n > 0, first[:, None] + total / some, 0.0), cross, square)
+
+    def merged(self, other: CoMoments) -> CoMoments:
+        n = self.n + other.n
+        some = np.maximum(n, 1.0)
+        gap, weight = other.mean - self.mean, self.n * other.n / some
+        mean = np.where(self.n > 0, self.mean + gap * other.n / some, other.mean)
+        return CoMoments(n, mean, self.cross + other.cross + gap * gap.T * weight, self.square + other.square + gap * gap * weight)
+
+
+def _co_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task has seen, a row for each pair of columns."""
+    seen: CoMoments | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        known = np.stack([pc.is_valid(c).to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        values = np.stack([pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        own = CoMoments.of(values, known)
+        seen = seen.merged(own) if seen else own
+    if seen:
+        i, j = np.triu_indices(len(seen.n))
+        cells = [seen.n[i, j], seen.mean[i, j], seen.mean[j, i], seen.cross[i, j], seen.square[i, j], seen.square[j, i]]
+        names = ["i", "j", "n", "mx", "my", "sxy", "sxx", "syy"]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, cells)], names)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, as long rows, over the rows where both are known.
 
-    Columns are first centred on their means, so that plain sums of products lose no digits. Each
-    row yields one cell per pair of columns, which is summed by pair before the shuffle: one
-    aggregate of a few sums, however many columns there are.
+    One scan: a task adds up matrix products of its Arrow batches and hands on one row a pair, so what is shuffled grows with the
+    tasks and pairs, never with the rows. The parts of a pair are merged by their means, which loses no digits.
     """
     names = list(columns)
-    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)])
-    wide = attach(df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]), means)
-    centred = wide.select(*[(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(len(names))])
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-    x, y = F.col("x"), F.col("y")
-    parts = []
-    for k in range(0, len(pairs), PAIRS_PER_JOB):
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")
-                )
-                for i, j in pairs[k : k + PAIRS_PER_JOB]
-            ]
-        )
-        parts.append(
-            centred.select(F.inline(cells))
-            .select("i", "j", F.when(y.isNotNull(), x).alias("x"), F.when(x.isNotNull(), y).alias("y"))
-            .groupBy("i", "j")
-            .agg(
-                F.count("x").alias("n"),
-                F.sum(x).alias("sx"),
-                F.sum(y).alias("sy"),
-                F.sum(x * y).alias("sxy"),
-                F.sum(x * x).alias("sxx"),
-                F.sum(y * y).alias("syy"),
-            )
+    wide = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    fields = ["n", "mx", "my", "sxy", "sxx", "syy"]
+    parts = wide.mapInArrow(_co_moments, "i int, j int, " + ", ".join(f"{c} double" for c in fields))
+    gathered = parts.groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("parts"))  # a row a task
+
+    def merged(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        weight = F.when(n > 0, a["n"] * b["n"] / n).otherwise(0.0)
+        share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+        dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+        return F.struct(
+            n.alias("n"),
+            F.when(a["n"] > 0, a["mx"] + dx * share).otherwise(b["mx"]).alias("mx"),
+            F.when(a["n"] > 0, a["my"] + dy * share).otherwise(b["my"]).alias("my"),
+            (a["sxy"] + b["sxy"] + dx * dy * weight).alias("sxy"),
+            (a["sxx"] + b["sxx"] + dx * dx * weight).alias("sxx"),
+            (a["syy"] + b["syy"] + dy * dy * weight).alias("syy"),
         )
-    half = parts[0]
-    for part in parts[1:]:
-        half = half.unionByName(part)
+
+    nothing = F.struct(*[F.lit(0.0).alias(c) for c in fields])
     label = F.array(*[F.lit(c) for c in names])
-    half = half.select("*", label[F.col("i")].alias("column_a"), label[F.col("j")].alias("column_b"))
-    n = F.col("n")
-    cross = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
-    spread_a = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
-    spread_b = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
-    varies = (spread_a > 0) & (spread_b > 0)
-    r = F.when(varies, F.try_divide(cross, F.sqrt(spread_a) * F.sqrt(spread_b)))
+    half = gathered.select(
+        label[F.col("i")].alias("column_a"), label[F.col("j")].alias("column_b"), F.aggregate("parts", nothing, merged).alias("m")
+    )
+    varies = (F.col("m.sxx") > 0) & (F.col("m.syy") > 0)
+    r = F.when(varies, F.try_divide(F.col("m.sxy"), F.sqrt("m.sxx") * F.sqrt("m.syy")))
     a, b = F.col("column_a"), F.col("column_b")
     cells = F.array(
         F.struct(a.alias("column_a"), b.alias("column_b"), r.alias("correlation")),

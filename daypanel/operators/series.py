@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from daypanel.functions.scalar import linear_fill
+from daypanel.operators.frames import Frame, add_frames
 from daypanel.operators.order import attach, series_quantiles, with_position
 from daypanel.schema import DATE, ENTITY, OBS, PRECIP, PRED, TARGET
 
@@ -42,13 +43,16 @@ def over_series(
     order: str = DATE,
     pos: str = "pos",
     block_rows: int = BLOCK_ROWS,
+    frames: Sequence[Frame] = (),
 ) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` rows ahead.
 
-    ``build`` gets the window (entity order by row position) and returns the columns. If ``df`` has
+    ``build`` gets the window (entity order by row position) and returns the columns; ``frames`` are trailing
+    frames to add by :func:`add_frames`, which reach their own rows back. If ``df`` has
     a row position (1, 2, ... per entity) under the name ``pos`` it is used, which makes this one
     shuffle; otherwise the position is computed first and dropped again.
     """
+    before = max([before, *(f.reach for f in frames)])
     if max(before, after) >= block_rows:
         raise ValueError("a block must be longer than the frames that cross its border")
     given = pos in df.columns
@@ -63,7 +67,8 @@ def over_series(
         wanted_by.append(F.when((inside < after) & (home > 0), home - 1))
     copies = placed.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(*wanted_by))))
     window = Window.partitionBy(key, "_block").orderBy(pos)
-    out = _spread(copies, key, "_block").select("*", *build(window)).where(F.col("_block") == F.col("_home"))
+    built = _spread(copies, key, "_block").select("*", *build(window))
+    out = add_frames(built, frames, [key, "_block"], pos).where(F.col("_block") == F.col("_home"))
     return out.drop("_home", "_block", *([] if given else [pos]))
 
 
@@ -109,7 +114,7 @@ def known_after(
     return _carried(df, values, False, key, order, block_days)
 
 
-# --- column builders, to be combined in one over_series call -----------------------------------
+# --- column and frame builders, to be combined in one over_series call ---------------------------
 
 
 def lag_columns(column: str, lags: Sequence[int], w: WindowSpec) -> list[Column]:
@@ -117,48 +122,18 @@ def lag_columns(column: str, lags: Sequence[int], w: WindowSpec) -> list[Column]
     return [F.lag(column, k).over(w).alias(f"{column}_lag_{k}") for k in lags]
 
 
-def _framed_median(c: Column, frame: WindowSpec) -> Column:
-    known = F.array_sort(F.collect_list(c).over(frame))
-    n = F.size(known)
-    middle = (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2
-    return F.when(n > 0, middle)
+def rolling_frames(column: str, windows: Sequence[int], stats: Sequence[str], include_current: bool = True) -> list[Frame]:
+    shift = 0 if include_current else 1
+    return [Frame(column, stat, n, f"{column}_roll{n}_{stat}", shift) for n in windows for stat in stats]
 
 
-# Rolling statistics by name; NULLs are skipped and std is the sample deviation (NULL for one value).
-ROLLING: dict[str, Callable[[Column, WindowSpec], Column]] = {
-    "mean": lambda c, frame: F.avg(c).over(frame),
-    "std": lambda c, frame: F.stddev_samp(c).over(frame),
-    "min": lambda c, frame: F.min(c).over(frame),
-    "max": lambda c, frame: F.max(c).over(frame),
-    "sum": lambda c, frame: F.sum(c).over(frame),
-    "var": lambda c, frame: F.var_samp(c).over(frame),
-    "count": lambda c, frame: F.count(c).over(frame).cast("double"),
-    "median": _framed_median,
-}
+def cumulative_frames(column: str, windows: Sequence[int] = (3, 7, 14, 30)) -> list[Frame]:
+    return [Frame(column, "sum", n, f"{column}_cumsum_{n}") for n in windows]
 
 
-def trailing(w: WindowSpec, rows: int, include_current: bool = True) -> WindowSpec:
-    return w.rowsBetween(-(rows - 1), 0) if include_current else w.rowsBetween(-rows, -1)
-
-
-def rolling_columns(
-    column: str, windows: Sequence[int], stats: Sequence[str], w: WindowSpec, include_current: bool = True
-) -> list[Column]:
-    return [
-        ROLLING[stat](F.col(column), trailing(w, n, include_current)).alias(f"{column}_roll{n}_{stat}")
-        for n in windows
-        for stat in stats
-    ]
-
-
-def cumulative_columns(column: str, w: WindowSpec, windows: Sequence[int] = (3, 7, 14, 30)) -> list[Column]:
-    return [F.sum(column).over(trailing(w, n)).alias(f"{column}_cumsum_{n}") for n in windows]
-
-
-def dry_day_column(column: str, w: WindowSpec, rows: int = 7, below: float = 0.1) -> Column:
+def dry_day_frame(column: str, rows: int = 7, below: float = 0.1) -> Frame:
     """Days below the limit among the trailing rows; a missing value is not a dry day."""
-    dry = F.when(F.col(column) < below, F.lit(1)).otherwise(F.lit(0))
-    return F.sum(dry).over(trailing(w, rows)).alias(f"{column}_dry_days_{rows}")
+    return Frame(column, "dry", rows, f"{column}_dry_days_{rows}", 0, below)
 
 
 # --- operators ---------------------------------------------------------------------------------
@@ -180,19 +155,16 @@ def rolling_stats(
     stats: Sequence[str] = ("mean", "std", "min", "max"),
     include_current: bool = True,
 ) -> DataFrame:
-    return over_series(
-        df,
-        lambda w: [c for name in columns for c in rolling_columns(name, windows, stats, w, include_current)],
-        before=max(windows),
-    )
+    frames = [f for name in columns for f in rolling_frames(name, windows, stats, include_current)]
+    return over_series(df, lambda w: [], frames=frames)
 
 
 def rolling_sum(df: DataFrame, column: str = PRECIP, windows: Sequence[int] = (3, 7, 14, 30)) -> DataFrame:
-    return over_series(df, lambda w: cumulative_columns(column, w, windows), before=max(windows))
+    return over_series(df, lambda w: [], frames=cumulative_frames(column, windows))
 
 
 def dry_days(df: DataFrame, column: str = PRECIP, rows: int = 7, below: float = 0.1) -> DataFrame:
-    return over_series(df, lambda w: [dry_day_column(column, w, rows, below)], before=rows)
+    return over_series(df, lambda w: [], frames=[dry_day_frame(column, rows, below)])
 
 
 def drop_warmup(df: DataFrame, rows: int = 30, pos: str = "pos") -> DataFrame:

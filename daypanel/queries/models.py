@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import functions as F
 
 from daypanel.modelling import explain, quantile_regression, scoring, search, validation
-from daypanel.operators import order
+from daypanel.operators import fitted, order
+from daypanel.operators.features import FeatureConfig, engineer_features
 from daypanel.queries import shared as X
 from daypanel.queries.panels import MODEL_FEATURES, _ready
-from daypanel.queries.registry import query, with_
+from daypanel.queries.registry import fragment, query, rounded, rounded_sql, with_
 from daypanel.queries.risks import _loo  # noqa: F401
-from daypanel.schema import DATE, ENTITY, TARGET
+from daypanel.schema import BASIN, DATE, ENTITY, PRECIP, TARGET
 
-FEW = {
+#: Trees of the registered search are few and shallow, so that a run ends in minutes; the library's own spaces are the defaults.
+SPACES = {
     "linear": search.SEARCH_SPACES["linear"],
     "random_forest": {
         "numTrees": {"type": "int", "low": 5, "high": 15},
@@ -32,22 +35,47 @@ def _linear(ready):
 @query()
 def param_search(spark, folder):
     ready = _ready(spark, folder)
-    folded = order.time_series_folds(ready.train, 2, whole_days=True)
+    folded = order.time_series_folds(ready.train, 3, whole_days=True)
     trials = search.param_search(
-        folded, "linear", ready.features, 2, search.trial_table(search.SEARCH_SPACES["linear"], 3)
+        folded, "linear", ready.features, 3, search.trial_table(search.SEARCH_SPACES["linear"], 5)
     )
     return spark.createDataFrame(trials, search.TRIAL_SCHEMA).drop("seconds")
 
 
 @query()
 def fit_models(spark, folder):
+    """All families searched, the best refitted on all training rows and applied to the test rows."""
     ready = _ready(spark, folder)
-    found = search.fit_models(ready.train, ready.features, folds=2, n_trials=1, spaces=FEW, refit=False)
-    return found.trials.drop("seconds")
+    found = search.fit_models(ready.train, ready.features, folds=2, n_trials=2, spaces=SPACES)
+    predicted = found.model.transform(ready.test)
+    return predicted.select(ENTITY, DATE, TARGET, search.PREDICTION, F.lit(found.best_model_name).alias("model"), F.lit(found.best_score).alias("score"))
 
 
-@query()
+_FOLDED = """SELECT *, CASE WHEN c - (n_rows - 3 * (n_rows // 4)) >= 0 THEN (c - (n_rows - 3 * (n_rows // 4))) // (n_rows // 4) END AS fold FROM (
+  SELECT *, MIN(rank0) OVER (PARTITION BY date) AS c FROM (
+    SELECT *, row_number() OVER (ORDER BY date, md5(CAST(catchment_id AS VARCHAR)), catchment_id) - 1 AS rank0, COUNT(*) OVER () AS n_rows FROM obs))"""
+
+
+@query(
+    rounded_sql(
+        f"""SELECT CAST(v.fold AS INTEGER) AS fold, 1 - SUM(pow(v.streamflow_mm_day - a - b * v.precipitation_mm, 2)) / (VAR_POP(v.streamflow_mm_day) * COUNT(*)) AS nse
+FROM ({_FOLDED}) v JOIN (
+  SELECT i, regr_slope(streamflow_mm_day, precipitation_mm) AS b, regr_intercept(streamflow_mm_day, precipitation_mm) AS a
+  FROM ({_FOLDED}) JOIN (SELECT unnest(generate_series(0, 2)) AS i) ON fold IS NULL OR fold < i GROUP BY 1) m ON m.i = v.fold GROUP BY 1""",
+        "fold",
+        "nse",
+        "obs",
+    )
+)
 def cv_score(spark, folder):
+    rows = X.observed(spark, folder).select(ENTITY, DATE, TARGET, PRECIP)
+    folded = order.time_series_folds(rows, 3, whole_days=True)
+    scores = search.cv_score(folded, search.FAMILIES["linear"]({}), [PRECIP], 3)
+    return rounded(spark.createDataFrame(list(enumerate(scores)), "fold int, nse double"))
+
+
+@query()
+def cv_score_of_features(spark, folder):
     ready = _ready(spark, folder)
     folded = order.time_series_folds(ready.train, 3, whole_days=True)
     scores = search.cv_score(folded, search.FAMILIES["linear"]({}), ready.features, 3)
@@ -57,12 +85,8 @@ def cv_score(spark, folder):
 @query()
 def quantile_regression_predict(spark, folder):
     ready = _ready(spark, folder)
-    inputs = ready.features[:4]
-    models = {
-        name: quantile_regression.fit_quantile(ready.train, inputs, q, max_rounds=15)
-        for name, q in (("lo", 0.05), ("med", 0.5), ("hi", 0.95))
-    }
-    return quantile_regression.predict_quantiles(ready.test, inputs, models).select(ENTITY, DATE, TARGET, "lo", "med", "hi")
+    models = quantile_regression.fit_quantiles(ready.train, ready.features, {"lo": 0.05, "med": 0.5, "hi": 0.95})
+    return quantile_regression.predict_quantiles(ready.test, models).select(ENTITY, DATE, TARGET, "lo", "med", "hi")
 
 
 @query()
@@ -74,7 +98,7 @@ def permutation_importance(spark, folder):
 @query()
 def partial_dependence(spark, folder):
     ready = _ready(spark, folder)
-    return explain.partial_dependence(ready.test, _linear(ready), ready.features[:2], ready.features, points=20)
+    return explain.partial_dependence(ready.test, _linear(ready), ready.features, ready.features, points=10)
 
 
 @query(
@@ -84,24 +108,80 @@ def leave_one_entity_out(spark, folder):
     return _loo(spark, folder)
 
 
+fragment(
+    "loo_line",
+    f"""
+SELECT held_out, {X.SUITE}, COUNT(*) AS n_test, any_value(basin) AS basin FROM (
+  SELECT x.catchment_id AS held_out, basin, x.streamflow_mm_day AS o,
+         greatest((sy - b * sx) / n + b * x.precipitation_mm, 0.0) AS p
+  FROM obs x JOIN attrs USING (catchment_id) JOIN (
+    SELECT catchment_id, na - n AS n, sxa - sx AS sx, sya - sy AS sy,
+           ((na - n) * (sxya - sxy) - (sxa - sx) * (sya - sy)) / ((na - n) * (sxxa - sxx) - (sxa - sx) * (sxa - sx)) AS b
+    FROM (SELECT catchment_id, COUNT(*) AS n, SUM(precipitation_mm) AS sx, SUM(streamflow_mm_day) AS sy, SUM(precipitation_mm * precipitation_mm) AS sxx,
+                 SUM(precipitation_mm * streamflow_mm_day) AS sxy FROM obs GROUP BY 1)
+    JOIN (SELECT COUNT(*) AS na, SUM(precipitation_mm) AS sxa, SUM(streamflow_mm_day) AS sya, SUM(precipitation_mm * precipitation_mm) AS sxxa,
+                 SUM(precipitation_mm * streamflow_mm_day) AS sxya FROM obs) ON true WHERE n >= 30 AND na - n >= 100) m ON m.catchment_id = x.catchment_id) GROUP BY 1""",
+    "obs",
+    "attrs",
+)
+
+
+@query(with_("SELECT * FROM loo_line", "loo_line"))
+def leave_one_entity_out_line(spark, folder):
+    """One input, so that SQL can say the same."""
+    rows = X.observed(spark, folder).select(ENTITY, DATE, TARGET, PRECIP)
+    return validation.leave_one_out_linear(rows.join(X.attributes(spark, folder).select(ENTITY, BASIN), ENTITY), [PRECIP])
+
+
 @query()
 def leave_one_entity_out_linear(spark, folder):
     ready = _ready(spark, folder)
-    return validation.leave_one_out_linear(ready.train, ready.features[:6])
+    return validation.leave_one_out_linear(ready.train, ready.features)
+
+
+@query()
+def grouped_folds_forest(spark, folder):
+    """Any estimator, by entity: every entity is predicted by a forest that has not seen it."""
+    ready = _ready(spark, folder)
+    return validation.grouped_folds(ready.train, lambda: RandomForestRegressor(numTrees=5, maxDepth=4, seed=42), ready.features, folds=3)
 
 
 @query()
 def leave_one_region_out_forest(spark, folder):
-    """The general form for any estimator, with the five regions as the held-out entities."""
+    """The general form with a fit for each held-out group, with the regions as groups."""
     ready = _ready(spark, folder)
     regions = ready.train.drop(ENTITY).withColumnRenamed("basin", ENTITY)
     return validation.leave_one_entity_out(
-        regions, lambda: RandomForestRegressor(numTrees=5, maxDepth=4, seed=42), ready.features[:6]
+        regions, lambda: RandomForestRegressor(numTrees=5, maxDepth=4, seed=42), ready.features
     )
 
 
-@query()
+LAG = f"{TARGET}_lag_1"
+ONE_LAG = FeatureConfig(lags=(1,), windows=(), covariates=(), covariate_lags=(), sum_windows=())
+fragment(
+    "one_lag",
+    """SELECT * FROM (SELECT catchment_id, date, streamflow_mm_day AS y,
+  LAG(streamflow_mm_day) OVER (PARTITION BY catchment_id ORDER BY date) AS x FROM obs) WHERE x IS NOT NULL""",
+    "obs",
+)
+
+
+@query(
+    with_(
+        f"""SELECT date, catchment_id, round(greatest(a + b * x, 0.0), 4) + 0.0 AS predicted_streamflow_mm_day FROM one_lag
+JOIN (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM one_lag WHERE date <= DATE '{X.TRAIN_END}') ON true""",
+        "one_lag",
+    )
+)
 def score_batch(spark, folder):
+    """All days of all entities scored by a line on yesterday's flow, with its fitted parameters."""
+    seen = X.observed(spark, folder).select(ENTITY, DATE, TARGET)
+    ready = fitted.preprocess(engineer_features(seen, ONE_LAG).select(ENTITY, DATE, TARGET, LAG), X.TRAIN_END, X.TEST_START)
+    return scoring.score_batch(seen, ready.params, _linear(ready), ONE_LAG)
+
+
+@query()
+def score_batch_of_features(spark, folder):
     ready = _ready(spark, folder)
     return scoring.score_batch(X.panel(spark, folder), ready.params, _linear(ready), MODEL_FEATURES)
 

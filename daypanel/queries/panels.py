@@ -9,7 +9,7 @@ from daypanel.operators import fitted, order, panel as P
 from daypanel.operators.features import FeatureConfig, engineer_features
 from daypanel.operators.scores import extreme_flags
 from daypanel.queries import shared as X
-from daypanel.queries.registry import query, rounded, rounded_sql, with_
+from daypanel.queries.registry import fragment, query, rounded, rounded_sql, with_
 from daypanel.schema import BASIN, DATE, ENTITY, OBS, PRECIP, PRED, TARGET, TMAX, TMIN
 from daypanel.session import fresh_path
 from daypanel.sources import readers, state, writers
@@ -88,6 +88,10 @@ def normalize_id(spark, folder):
     )
 )
 def read_entity_series(spark, folder):
+    return readers.read_entity_series(spark, _series_files(spark, folder), id_pattern=r"station=0*(\d+)/")
+
+
+def _series_files(spark, folder):
     raw = X.observed(spark, folder).select(
         S.padded_id(F.col(ENTITY)).alias("station"),
         F.year(DATE).alias("year"),
@@ -101,10 +105,53 @@ def read_entity_series(spark, folder):
     )
     path = fresh_path(spark, "forcings")
     raw.repartition("station").write.partitionBy("station").option("header", True).csv(path)
+    return path
+
+
+@query(
+    with_(
+        """SELECT CAST(catchment_id AS VARCHAR) AS catchment_id, date, precipitation_mm,
+       CASE WHEN catchment_id % 3 <> 0 THEN temperature_max_c END AS temperature_max_c, CASE WHEN catchment_id % 3 = 0 THEN pet_mm END AS pet_mm FROM obs""",
+        "obs",
+    )
+)
+def read_entity_series_of_two_forms(spark, folder):
+    seen = X.observed(spark, folder).withColumns(
+        {"station": S.padded_id(F.col(ENTITY)), "year": F.year(DATE), "month": F.month(DATE), "day": F.dayofmonth(DATE)}
+    )
+    path = fresh_path(spark, "forcings")
+    third = F.col(ENTITY) % 3 == 0
+    first = seen.where(~third).select("station", "year", "month", "day", F.col(PRECIP).alias("prcp(mm/day)"), F.col(TMAX).alias("tmax(C)"))
+    second = seen.where(third).select("station", F.col("pet_mm").alias("pet_gleam(mm/day)"), F.col(PRECIP).alias("PRCP(mm/day)"), "day", "month", "year")
+    for form in (first, second):
+        form.repartition("station").write.mode("append").partitionBy("station").option("header", True).csv(path)
     return readers.read_entity_series(spark, path, id_pattern=r"station=0*(\d+)/")
 
 
-REGION_IDS = (0, 1, 2, 3, 4)
+@query(
+    with_(
+        """SELECT CAST(o.catchment_id AS VARCHAR) AS catchment_id, date, basin,
+  round(CASE WHEN area_km2 > 0 THEN streamflow_mm_day * 86400.0 / (area_km2 * 1e6) * 1000.0 END, 6) + 0.0 AS streamflow_mm_day,
+  round(precipitation_mm, 6) + 0.0 AS precipitation_mm, round(pet_mm, 6) + 0.0 AS pet_mm, round(area_km2, 6) + 0.0 AS area_km2
+FROM obs o JOIN attrs a ON a.catchment_id = o.catchment_id""",
+        "obs",
+        "attrs",
+    )
+)
+def read_panel(spark, folder):
+    root = fresh_path(spark, "files")
+    static = X.attributes(spark, folder)
+    static.select(F.col(ENTITY).alias("gauge_id"), F.col("area_km2").alias("cwc_area"), F.col(BASIN).alias("river_basin")).coalesce(1).write.option(
+        "header", True
+    ).csv(f"{root}/topo.csv")
+    seen = X.observed(spark, folder)
+    ids = [r[0] for r in X.table(spark, folder, "supplier").select("s_suppkey").distinct().orderBy("s_suppkey").collect()]  # the columns of a wide file
+    wide = seen.groupBy(F.year(DATE).alias("year"), F.month(DATE).alias("month"), F.dayofmonth(DATE).alias("day")).pivot(ENTITY, ids).agg(F.sum(TARGET))
+    wide.write.option("header", True).csv(f"{root}/observed.csv")
+    panel = readers.read_panel(spark, [f"{root}/topo.csv"], _series_files(spark, folder), f"{root}/observed.csv", r"station=0*(\d+)/")
+    return rounded(panel.select(ENTITY, DATE, BASIN, TARGET, PRECIP, "pet_mm", "area_km2"))
+
+
 _REGION_DAY = """
 SELECT n_regionkey AS k, CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS q
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2"""
@@ -117,10 +164,14 @@ def _wide(spark, folder):
         .join(X.table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(X.table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     )
-    daily = located.groupBy(F.col("l_shipdate").cast("date").alias(DATE)).agg(
-        *[F.sum(F.when(F.col("n_regionkey") == k, F.col("l_quantity"))).alias(f"000{k}") for k in REGION_IDS]
+    regions = _region_ids(spark, folder)
+    return located.groupBy(F.col("l_shipdate").cast("date").alias(DATE)).agg(
+        *[F.sum(F.when(F.col("n_regionkey") == k, F.col("l_quantity"))).alias(f"000{k}") for k in regions]
     )
-    return daily
+
+
+def _region_ids(spark, folder):
+    return [r[0] for r in X.table(spark, folder, "region").select("r_regionkey").distinct().orderBy("r_regionkey").collect()]
 
 
 _WIDE_LONG = f"""
@@ -143,7 +194,7 @@ def read_predictions(spark, folder):
         F.year(DATE).alias("year"),
         F.month(DATE).alias("month"),
         F.dayofmonth(DATE).alias("day"),
-        *[f"000{k}" for k in REGION_IDS],
+        *[f"000{k}" for k in _region_ids(spark, folder)],
     )
     path = fresh_path(spark, "predictions")
     wide.write.option("header", True).csv(path)
@@ -374,17 +425,25 @@ def clamp_nonnegative(spark, folder):
     return X.predictions(spark, folder).select(ENTITY, DATE, S.clamp_nonnegative(F.col(PRED) - 20.0).alias("clamped"))
 
 
+_INPUTS = (PRECIP, TMAX, TMIN, "pet_mm", "area_km2")
+
+
 @query(
-    """SELECT * FROM (VALUES (0, 'precipitation_mm'), (1, 'temperature_max_c'), (2, 'temperature_min_c'), (3, 'pet_mm'), (4, 'area_km2')) t(place, feature)
-WHERE (SELECT COUNT(*) FROM lineitem) > 0"""
+    rounded_sql(
+        " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS feature, COUNT({c}) AS known, SUM({c}) AS total FROM panel" for i, c in enumerate(_INPUTS)),
+        "place feature known",
+        "total",
+        "panel",
+        digits=2,
+    )
 )
 def select_features(spark, folder):
     joined = X.panel(spark, folder).select(ENTITY, DATE, BASIN, *VALUES, "area_km2", "latitude", "longitude", "pos")
     from daypanel.operators import features
 
     names = features.select_features(joined)
-    some = joined.limit(1).select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("place", "feature"))
-    return some
+    cells = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"), F.count(c).alias("known"), F.sum(c).alias("total")) for i, c in enumerate(names)]
+    return rounded(joined.agg(F.array(*cells).alias("cells")).select(F.inline("cells")), 2)
 
 
 @query(
@@ -466,7 +525,7 @@ def extreme_flags_by_entity(spark, folder):
 
 @query(with_("SELECT s.catchment_id, s.date, s.pos, o.streamflow_mm_day FROM spine s JOIN obs o ON s.catchment_id = o.catchment_id AND s.date = o.date", "spine", "obs"))
 def join_target(spark, folder):
-    spine = P.densify(X.attributes(spark, folder), X.START, X.END).select(ENTITY, DATE, "pos")
+    spine = P.densify(X.attributes(spark, folder), *X.calendar(spark, folder)).select(ENTITY, DATE, "pos")
     return P.join_target(spine, X.observed(spark, folder).select(ENTITY, DATE, TARGET))
 
 
@@ -559,11 +618,34 @@ def stack_entities(spark, folder):
 # --- fitted state on disk ----------------------------------------------------------------------
 
 
-@query()
+fragment(
+    "rain_line",
+    f"SELECT regr_slope(streamflow_mm_day, precipitation_mm) AS b, regr_intercept(streamflow_mm_day, precipitation_mm) AS a FROM obs WHERE date <= DATE '{X.TRAIN_END}'",
+    "obs",
+)
+
+
+@query(
+    with_(
+        f"SELECT catchment_id, date, round(a + b * precipitation_mm, 4) + 0.0 AS prediction, 1::BIGINT AS n_params FROM obs JOIN rain_line ON true WHERE date >= DATE '{X.TEST_START}'",
+        "obs",
+        "rain_line",
+    )
+)
 def save_params(spark, folder):
+    """A least-squares line saved with its fitted parameters, loaded and applied."""
+    rows = X.observed(spark, folder).select(ENTITY, DATE, TARGET, PRECIP)
+    return _saved_and_loaded(spark, fitted.preprocess(rows, X.TRAIN_END, X.TEST_START))
+
+
+@query()
+def save_params_of_features(spark, folder):
+    return _saved_and_loaded(spark, _ready(spark, folder))
+
+
+def _saved_and_loaded(spark, ready):
     from daypanel.modelling.search import FAMILIES, model_stages
 
-    ready = _ready(spark, folder)
     model = model_stages(FAMILIES["linear"]({}), ready.features).fit(ready.train)
     path = fresh_path(spark, "model")
     state.save_params(path, ready.params, model, {"model": "linear"})

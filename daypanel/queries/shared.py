@@ -16,7 +16,6 @@ from daypanel.operators.series import over_series
 from daypanel.queries.registry import fragment
 from daypanel.schema import BASIN, DATE, ENTITY, OBS, PET, PRECIP, PRED, TARGET, TMAX, TMIN
 
-START, END = "1995-01-02", "2001-11-04"
 TRAIN_END, TEST_START = "1998-12-31", "1999-01-01"
 
 
@@ -24,6 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def calendar(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """First and last ship date."""
+    day = F.col("l_shipdate").cast("date").cast("string")
+    first, last = table(spark, folder, "lineitem").agg(F.min(day), F.max(day)).first()
+    return first or "1970-01-01", last or "1970-01-01"
+
+
 def observed(spark: SparkSession, folder: str) -> DataFrame:
     """One row per supplier and ship date; combined before the shuffle, so a hot supplier stays small."""
     returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(F.lit(0.0))
@@ -57,7 +63,7 @@ def attributes(spark: SparkSession, folder: str) -> DataFrame:
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """Every supplier on every day of the calendar, with the row position."""
-    spine = densify(attributes(spark, folder), START, END)
+    spine = densify(attributes(spark, folder), *calendar(spark, folder))
     return spine.join(observed(spark, folder), [ENTITY, DATE], "left")
 
 
@@ -103,11 +109,13 @@ SELECT s_suppkey AS catchment_id, r_name AS basin, s_acctbal AS area_km2,
        CAST(n_nationkey + 8 AS DOUBLE) AS latitude, CAST(n_regionkey + 72 AS DOUBLE) AS longitude
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 )
+fragment("days", "SELECT MIN(CAST(l_shipdate AS DATE)) AS first, MAX(CAST(l_shipdate AS DATE)) AS last FROM lineitem")
 fragment(
     "spine",
-    f"""
-SELECT *, CAST(date_diff('day', DATE '{START}', date) + 1 AS INTEGER) AS pos FROM (
-  SELECT attrs.*, CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS date FROM attrs)""",
+    """
+SELECT s.*, CAST(date_diff('day', first, date) + 1 AS INTEGER) AS pos FROM (
+  SELECT attrs.*, CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS date FROM attrs JOIN days ON true) s JOIN days ON true""",
+    "days",
     "attrs",
 )
 fragment("panel", "SELECT * FROM spine LEFT JOIN obs USING (catchment_id, date)", "spine", "obs")

@@ -13,6 +13,8 @@ from daypanel.schema import DATE, ENTITY, OBS, PRECIP, PRED, TARGET, TMAX
 from daypanel.session import durable
 
 VALUES = (TARGET, PRECIP, TMAX)
+_EXTREME_ROWS = """SELECT COUNT(*) FROM train WHERE streamflow_mm_day >= (SELECT quantile_cont(streamflow_mm_day, 0.95) FROM train)
+  OR streamflow_mm_day <= (SELECT quantile_cont(streamflow_mm_day, 0.05) FROM train)"""
 fragment("train", f"SELECT * FROM obs WHERE date <= DATE '{X.TRAIN_END}'", "obs")
 
 
@@ -88,6 +90,43 @@ def preprocess(spark, folder):
     return rounded(fitted.preprocess(gappy, X.TRAIN_END, X.TEST_START).test)
 
 
+_GAPPY = "SELECT *, CASE WHEN precipitation_mm > 0 OR pet_mm > 2 THEN precipitation_mm END AS x FROM obs"
+_BY_RANK = f"SELECT *, row_number() OVER (ORDER BY date, md5(CAST(catchment_id AS VARCHAR)), catchment_id) - 1 AS r, COUNT(*) OVER () AS n FROM ({_GAPPY})"
+
+
+def _gappy(spark, folder):
+    return X.observed(spark, folder).select(
+        ENTITY, DATE, TARGET, F.when((F.col(PRECIP) > 0) | (F.col("pet_mm") > 2), F.col(PRECIP)).alias(PRECIP)
+    )
+
+
+@query(
+    rounded_sql(
+        f"""SELECT catchment_id, date, streamflow_mm_day, (coalesce(f, m) - c) / s AS precipitation_mm FROM (
+  SELECT catchment_id, date, streamflow_mm_day, {_CARRY.format(c="x")} AS f FROM ({_BY_RANK}) WHERE r >= floor(n * 0.8::DOUBLE)) t
+JOIN (SELECT m, AVG(coalesce(f, m)) AS c, STDDEV_POP(coalesce(f, m)) AS s FROM (
+  SELECT f, median(f) OVER () AS m FROM (SELECT {_CARRY.format(c="x")} AS f FROM ({_BY_RANK}) WHERE r < floor(n * 0.8::DOUBLE))) GROUP BY 1) ON true""",
+        "catchment_id date streamflow_mm_day",
+        "precipitation_mm",
+        "obs",
+    )
+)
+def preprocess_by_fraction(spark, folder):
+    return rounded(fitted.preprocess(_gappy(spark, folder)).test)
+
+
+@query(
+    with_(
+        f"""SELECT is_synthetic, n FROM (SELECT false AS is_synthetic, COUNT(*) AS n FROM train
+UNION ALL SELECT true, CAST(floor(({_EXTREME_ROWS}) * 0.5) AS BIGINT))""",
+        "train",
+    )
+)
+def preprocess_oversampled(spark, folder):
+    train = fitted.preprocess(_gappy(spark, folder), X.TRAIN_END, X.TEST_START, oversample_share=0.5).train
+    return train.groupBy("is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- folds and resampling ----------------------------------------------------------------------
 
 
@@ -139,7 +178,7 @@ def append_synthetic(spark, folder):
     return resample.oversample_extremes(train, [PRECIP, TMAX], share=0.25)
 
 
-@query()
+@query(with_("SELECT * FROM (SELECT catchment_id, date, streamflow_mm_day FROM obs) ORDER BY md5('42|' || catchment_id || '|' || date), catchment_id, date LIMIT 500", "obs"))
 def sample_rows(spark, folder):
     return order.sample_rows(_plain(spark, folder), 500)
 
@@ -204,12 +243,12 @@ GROUPS = ["season", "lag_bucket"]
 def _interval_parts(spark, folder):
     seen = X.observed(spark, folder).select(ENTITY, DATE, F.col(TARGET).alias(OBS))
     lagged = series.over_series(seen, lambda w: [F.lag(OBS, 1).over(w).alias(PRED)], before=1)
-    lagged = durable(lagged, "lagged")
     train, test = P.temporal_split(lagged, X.TRAIN_END, X.TEST_START)
-    parted = durable(intervals.calibration_split(train), "parted")
-    fit, calibration = parted.where("part = 'fit'"), parted.where("part = 'calibration'")
-    cuts = intervals.lag_cuts(fit, PRED)
-    learned = durable(intervals.fit_group_quantiles(intervals.condition_columns(fit, PRED, cuts), GROUPS), "quantiles")
+    parted = intervals.calibration_split(train).unionByName(test.withColumn("part", F.lit("test")))
+    parted = durable(parted, "parted")
+    fit, calibration, test = (parted.where(F.col("part") == name) for name in ("fit", "calibration", "test"))
+    cuts = intervals.lag_cut_row(fit, PRED)
+    learned = intervals.fit_group_quantiles(intervals.condition_columns(fit, PRED, cuts), GROUPS)
 
     def band(rows):
         return intervals.quantile_predict(intervals.condition_columns(rows, PRED, cuts), learned, GROUPS)

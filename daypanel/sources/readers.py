@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from daypanel.functions.scalar import date_from_parts, normalize_id
 from daypanel.operators.panel import canonical_columns, outer_merge_dims, target_depth, wide_to_long
@@ -50,31 +53,58 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn(DATE, date_from_parts(parts["year"], parts["month"], parts["day"]))
 
 
+def _decoded(path: Column) -> Column:
+    """A file's path as it is named; Spark gives it with escapes."""
+    return F.coalesce(F.try_url_decode(path), path)
+
+
+def header_catalogue(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files below a folder by their header, read from their first lines as one Spark job.
+
+    The driver gets the distinct headers and the paths, which it would list for any scan. Files without a line are left out.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    place = lines.where("start = 0").withColumn("place", F.monotonically_increasing_id())
+    firsts = place.groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in firsts.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
+        names = tuple(next(csv.reader([r["header"].removeprefix("\ufeff").rstrip("\r")]), []))
+        found.setdefault(names, []).extend(unquote(p) for p in r["paths"])
+    return dict(sorted(found.items()))
+
+
 def read_entity_series(
     spark: SparkSession,
     path: str,
     mapping: Mapping[str, str] = FORCING_COLUMNS,
     id_pattern: str = r"0*(\d+)\.csv$",
 ) -> DataFrame:
-    """All entities' daily series with one scan over a folder of one file per entity.
+    """All entities' daily series from a folder of one file per entity, whose files may differ in columns.
 
-    The id is the group of ``id_pattern`` in the file's path. Only the date and the mapped columns
-    are kept, as doubles; the header is read once for the whole folder. Values are not inferred.
+    The id is the group of ``id_pattern`` in the file's path. Files are scanned together by their header, each scan reads only the date
+    and the mapped columns, as doubles, and a column that a file lacks is NULL for its entity. Values are not inferred. Files whose
+    header lacks a part of the date have no day and are left out.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("recursiveFileLookup", True)
-        .option("enforceSchema", False)
-        .csv(path)
-        .withColumn("_path", F.col("_metadata.file_path"))
-    )
-    named = canonical_columns(raw, mapping)
-    values = [c for c in dict.fromkeys(mapping.values()) if c in named.columns]
-    return _dated(named).select(
-        normalize_id(F.regexp_extract("_path", id_pattern, 1)).alias(ENTITY),
-        DATE,
-        *[F.col(c).try_cast("double").alias(c) for c in values],
-    )
+    parts = []
+    for names, paths in header_catalogue(spark, path).items():
+        if not set(DATE_PARTS) <= set(names):
+            continue
+        schema = StructType([StructField(n, StringType()) for n in names])
+        raw = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
+        named = canonical_columns(raw.withColumn("_path", _decoded(F.col("_metadata.file_path"))), mapping)
+        values = [c for c in dict.fromkeys(mapping.values()) if c in named.columns]
+        parts.append(
+            _dated(named).select(
+                normalize_id(F.regexp_extract("_path", id_pattern, 1)).alias(ENTITY),
+                DATE,
+                *[F.col(c).try_cast("double").alias(c) for c in values],
+            )
+        )
+    if not parts:
+        return spark.createDataFrame([], f"{ENTITY} string, {DATE} date")
+    joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return joined.select(ENTITY, DATE, *[c for c in dict.fromkeys(mapping.values()) if c in joined.columns])
 
 
 def read_wide(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -90,6 +120,20 @@ def read_observations(spark: SparkSession, path: str, attributes: DataFrame, nam
     return target_depth(read_wide(spark, path, "_rate"), attributes, "_rate", name).drop("_rate")
 
 
+def read_panel(
+    spark: SparkSession, attributes: Sequence[str], forcings: str, observations: str, id_pattern: str = r"0*(\d+)\.csv$"
+) -> DataFrame:
+    """The panel of all entities from their files: attribute tables, one file of forcings per entity and a wide table of observed rates.
+
+    One row per entity and day of its forcings, with the observed depth where it is known and the attributes of the entity.
+    """
+    known = read_attributes(spark, attributes)
+    days = read_entity_series(spark, forcings, id_pattern=id_pattern).where(F.col(DATE).isNotNull())
+    observed = read_observations(spark, observations, known).select(ENTITY, DATE, TARGET)
+    static = known.drop(*[c for c in known.columns if c != ENTITY and c in days.columns])
+    return days.join(observed, [ENTITY, DATE], "left").join(static, ENTITY, "left")
+
+
 def read_predictions(
     spark: SparkSession, path: str | None, attributes: DataFrame, name: str = "baseline_mm_day"
 ) -> DataFrame:

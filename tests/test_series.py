@@ -126,3 +126,34 @@ def test_warm_up_drops_rows_by_position(series_of):
     df = series_of("streamflow_mm_day", list(range(40)), list(range(31)))
     assert series.drop_warmup(df, 30).count() == 11
     assert features.engineer_features(df).count() == 11
+
+
+@pytest.mark.parametrize("shift", [0, 1])
+def test_staged_frames_equal_long_windows(long_series, shift):
+    aggregates = {
+        "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max, "sum": F.sum,
+        "count": F.count,
+    }
+    rows = (1, 2, 3, 7, 8, 14, 30)
+    df = long_series.withColumn("v", F.col("v") * 1.25 + 1e6)  # far from zero, where plain sums of squares lose digits
+    whole = Window.partitionBy("catchment_id").orderBy("date")
+    frames = [series.Frame("v", s, n, f"{s}_{n}", shift) for s in (*aggregates, "median") for n in rows]
+    plain = [a("v").over(whole.rowsBetween(-(n - 1) - shift, -shift)).alias(f"{s}_{n}") for s, a in aggregates.items() for n in rows]
+    want = df.select("*", *plain).toPandas().sort_values(["catchment_id", "date"], ignore_index=True)
+    got = series.over_series(df, lambda w: [], frames=frames, block_rows=64)
+    got = got.toPandas().sort_values(["catchment_id", "date"], ignore_index=True)
+    assert got.columns[:3].tolist() == ["catchment_id", "date", "v"] and len(got) == len(want)
+    for s in aggregates:
+        for n in rows:
+            pd.testing.assert_series_equal(got[f"{s}_{n}"], want[f"{s}_{n}"].astype(float), rtol=1e-9, atol=1e-9)
+    for _, group in got.groupby("catchment_id"):
+        values = group["v"].shift(shift)
+        expected = values.rolling(7, min_periods=1).median()
+        pd.testing.assert_series_equal(group["median_7"], expected, check_names=False)
+
+
+def test_frames_of_rows_below_a_limit(long_series):
+    whole = Window.partitionBy("catchment_id").orderBy("date").rowsBetween(-6, 0)
+    want = long_series.withColumn("v_dry_days_7", F.sum(F.when(F.col("v") < 5, 1).otherwise(0)).over(whole))
+    got = series.dry_days(long_series, "v", 7, 5.0)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
