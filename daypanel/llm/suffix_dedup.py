@@ -6,12 +6,12 @@ Equal windows have equal anchors at equal places, and neighbouring windows mostl
 windows ``(anchor, context)``, the context being all bytes of the run.
 
 1. Runs are counted by anchor (two hashes each, combined map side). An anchor seen once is no repeat; one whose contexts all are equal is a
-   repeat in every window. Both are settled without moving text.
+   repeat in every window. Both are settled by their hashes, without moving text.
 2. For the others one text of each distinct context is fetched, and contexts are dealt to shards by anchor. A shard is cut at anchors into
-   pieces of about ``SHARD_BYTES``, whose suffixes are sorted by induction (:mod:`daypanel.llm.induced_sort`); neighbours with ``WINDOW``
-   equal bytes are repeats. Bytes are compared, hashes only order the work.
-3. An anchor with more than ``HOT_CONTEXTS`` distinct contexts (a line that is everywhere) isn't brought to one task: its windows are counted
-   one by one under 128-bit hashes, again combined map side.
+   pieces of at most one and a half ``SHARD_BYTES``, whose suffixes are sorted by induction (:mod:`daypanel.llm.induced_sort`); neighbours with
+   ``WINDOW`` equal bytes are repeats.
+3. An anchor whose contexts need not fit in one shard (more than ``HOT_CONTEXTS`` distinct ones, a line that is everywhere) isn't brought to one
+   task: its windows are counted one by one under 128-bit hashes, again combined map side.
 4. Repeated windows return to their rows and the covered bytes are cut out.
 
 Defined cases: NULL text counts as empty; texts under ``WINDOW`` bytes keep everything; rows that repeat, also under one id, are occurrences of
@@ -34,8 +34,9 @@ from daypanel.session import durable
 
 WINDOW = 200
 GRAM = 64  # a power of two
-SHARD_BYTES = 4 << 20
-HOT_CONTEXTS = 256
+SHARD_BYTES = 3 << 20
+#: As many contexts, each of at most ``2 * WINDOW - GRAM`` bytes, fit in a shard whatever their length.
+HOT_CONTEXTS = SHARD_BYTES // (2 * WINDOW - GRAM)
 
 
 def _grams(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -177,7 +178,7 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         for anchor, context, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "bytes")), strict=True):
-            if anchor != last and size > SHARD_BYTES:
+            if anchor != last and size > SHARD_BYTES // 2:
                 yield settle()
                 held, size = {}, 0
             last = anchor
@@ -250,7 +251,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     part = F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"]).alias("b")))
     windows = back.select("id", "th", "tk", F.coalesce(part, whole).alias("spans"))
     windows = windows.unionByName(shared.where("settled").select("id", "th", "tk", whole.alias("spans")))
-    return windows.groupBy("id", "th", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by one text
+    return windows.groupBy("id", "th", "tk").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # bounded by one text
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
