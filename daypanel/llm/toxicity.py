@@ -51,7 +51,7 @@ MAX_EXPECTED = 0.05
 
 #: Lengths of the stems of a word; words that a worker remembers.
 STEMS = range(3, 9)
-CACHE_SIZE = 262_144
+CACHE_SIZE = 65_536
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -65,7 +65,7 @@ class _Units(dict):
     """Units of every word met; starts again when it is full."""
 
     def __missing__(self, word: str) -> list[str]:
-        if len(self) >= CACHE_SIZE // 8:
+        if len(self) >= CACHE_SIZE // 4:
             self.clear()
         self[word] = found = units(word)
         return found
