@@ -10,6 +10,8 @@ partitions, a recomputed task gives the same ranks.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,12 +114,25 @@ def hashed_rank(
     )
 
 
+def join_groups(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet each other, as they do in a grouping; ``df`` gives the keys."""
+    renamed = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+    return df.join(renamed, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
 def value_range(value: Column) -> Column:
     """An integer that grows with the value: 64 steps per power of two, on both sides of zero."""
     step = F.floor(F.log2(F.abs(value)) * 64).cast("int") + F.lit(70000)
     return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0))
 
 
+def range_step(value: Column, low: str = "_lo", high: str = "_hi") -> Column:
+    """Which of 1,024 equal steps between the ends of its value range a value is in."""
+    share = F.try_divide(value - F.col(low), F.col(high) - F.col(low))
+    return F.coalesce(F.least(F.floor(share * 1024).cast("int"), F.lit(1023)), F.lit(0))
+
+
 def order_statistics(
     df: DataFrame,
     value: str,
@@ -130,7 +145,7 @@ def order_statistics(
     Pass 1 counts rows per value range (combined on the map side, so a hot group costs a few
     thousand rows per task) and finds the ranges that hold a wanted position. Pass 2 keeps only the
     rows of those ranges, splits each range into 1,024 equal steps and orders distinct values inside
-    one step. Groups whose key is NULL are left out, as in a join.
+    one step. A NULL key is a group like any other.
 
     What a range is searched for travels with its rows as grouping columns (``_rest_i``), so each
     pass reads the input once.
@@ -138,8 +153,6 @@ def order_statistics(
     by = list(by)
     v = F.col("_v")
     usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    for key in by:
-        usable = usable & F.col(key).isNotNull()
     rows = df.where(usable).select(*by, F.col(value).cast("double").alias("_v"))
     rows = rows.withColumn("_range", F.coalesce(value_range(v), F.lit(0)))
     ranges = rows.groupBy(*by, "_range").agg(
@@ -152,18 +165,19 @@ def order_statistics(
         F.sum("_rows").over(in_group).alias("_n"),
     )
     names = list(picks)
-    rest = []
+    rest, wanted = [], []
     for i, name in enumerate(names):
         at = picks[name](F.col("_n")).cast("bigint") - F.col("_start")
-        rest.append(F.when((at >= 0) & (at < F.col("_rows")), at).alias(f"_rest_{i}"))
+        wanted.append((at >= 0) & (at < F.col("_rows")))
+        rest.append(F.when(wanted[i], at).alias(f"_rest_{i}"))
     rests = [f"_rest_{i}" for i in range(len(names))]
-    targets = placed.select(*by, "_range", "_lo", "_hi", "_n", *rest).where(F.coalesce(*rests).isNotNull())
+    # Filtered before the columns get names: a filter on all of them would double what the optimizer infers with each one.
+    targets = placed.where(reduce(or_, wanted)).select(*by, "_range", "_lo", "_hi", "_n", *rest)
 
-    share = F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    step = F.coalesce(F.least(F.floor(share * 1024).cast("int"), F.lit(1023)), F.lit(0))
+    step = range_step(v)
     one_range, one_step = [*by, "_range"], [*by, "_range", "_step"]
     values = (
-        rows.join(targets, one_range)
+        join_groups(rows, targets, one_range)
         .withColumn("_step", step)
         .groupBy(*one_step, "_v", "_n", *rests)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -180,7 +194,7 @@ def order_statistics(
         )
     )
     upto = F.col("_step_start") + F.sum("_rows").over(Window.partitionBy(*one_step).orderBy("_v"))
-    ordered = values.join(steps, one_step).withColumn("_upto", upto)
+    ordered = join_groups(values, steps, one_step).withColumn("_upto", upto)
 
     def chosen(i: int) -> Column:
         here = (F.col(rests[i]) < F.col("_upto")) & (F.col(rests[i]) >= F.col("_upto") - F.col("_rows"))
@@ -191,13 +205,18 @@ def order_statistics(
     )
 
 
-def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per name, for groups of any size."""
+def quantiles(
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), others: Mapping[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column per name, for groups of any size.
+
+    ``others`` are elements at given positions, as in :func:`order_statistics`, found in the same two passes.
+    """
 
     def at(q: float, edge: Callable[[Column], Column]) -> Callable[[Column], Column]:
         return lambda n: edge((n - 1) * F.lit(float(q)))
 
-    picks: dict[str, Callable[[Column], Column]] = {}
+    picks: dict[str, Callable[[Column], Column]] = dict(others or {})
     for name, q in probs.items():
         picks[f"_low_{name}"] = at(q, F.floor)
         picks[f"_high_{name}"] = at(q, F.ceil)
@@ -209,7 +228,7 @@ def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequenc
         mixed = low * (F.ceil(place) - place) + high * (place - F.floor(place))
         return F.when(low == high, low).otherwise(mixed).alias(name)
 
-    return found.select(*by, *[between(name, q) for name, q in probs.items()])
+    return found.select(*by, *[between(name, q) for name, q in probs.items()], *(others or {}))
 
 
 def series_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (ENTITY,)) -> DataFrame:
@@ -231,7 +250,7 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame
     """Add the columns of a per-group table to the rows; a single-row table is read as a scalar subquery."""
     by = list(by)
     if by:
-        return df.join(stats, by)
+        return join_groups(df, stats, by)
     names = stats.columns
     packed = stats.select(F.struct(*names).alias("_stats")).scalar()
     return df.withColumn("_stats", packed).select(*df.columns, *[F.col("_stats")[c].alias(c) for c in names])

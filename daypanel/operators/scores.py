@@ -16,7 +16,7 @@ from daypanel.functions.errors import Errors
 from daypanel.functions.scalar import clamp_nonnegative
 from daypanel.operators import baseflow as bf
 from daypanel.operators import series
-from daypanel.operators.order import attach, order_statistics, quantiles, series_quantiles, value_range
+from daypanel.operators.order import attach, join_groups, order_statistics, quantiles, range_step, series_quantiles, value_range
 from daypanel.schema import DATE, ENTITY, OBS, PRECIP, PRED, REGIME_QUANTILES, REGIMES
 from daypanel.session import durable
 
@@ -161,6 +161,17 @@ def low_flow_bias(
     )
 
 
+def _exceeded(share: float):
+    """Position of the value that this share of the rows exceeds."""
+    return lambda n: n - 1 - F.least(F.floor(n * F.lit(share)).cast("bigint"), n - 1)
+
+
+def _both_sides(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Observed and predicted values one below the other, with their ``side``."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in (OBS, PRED)])
+    return rows.select(*by, F.inline(sides))
+
+
 def mid_slope_bias(
     df: DataFrame,
     by: Sequence[str] = (),
@@ -172,13 +183,7 @@ def mid_slope_bias(
     """Bias in percent of the slope of the flow duration curve between two exceedance shares."""
     rows = scored(df)
 
-    def exceeded(share: float):
-        return lambda n: n - 1 - F.least(F.floor(n * F.lit(share)).cast("bigint"), n - 1)
-
-    both = rows.select(
-        *by, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in (OBS, PRED)])).alias("x")
-    ).select(*by, "x.*")
-    ends = order_statistics(both, "value", {"steep": exceeded(lower), "flat": exceeded(upper)}, [*by, "side"])
+    ends = order_statistics(_both_sides(rows, by), "value", {"steep": _exceeded(lower), "flat": _exceeded(upper)}, [*by, "side"])
 
     def end(side: str, name: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{side}_{name}")
@@ -226,8 +231,7 @@ def signature_suite(df: DataFrame, precip: str | None = None, materialize: bool
         high_flow_bias(rows, by),
         low_flow_bias(rows, by),
         mid_slope_bias(rows, by),
-        bf.baseflow_index(rows, OBS, "bfi_observed"),
-        bf.baseflow_index(rows, PRED, "bfi_predicted"),
+        bf.baseflow_indices(rows, {OBS: "bfi_observed", PRED: "bfi_predicted"}),
         peak_hit_rate(rows),
     ]
     if precip:
@@ -235,55 +239,113 @@ def signature_suite(df: DataFrame, precip: str | None = None, materialize: bool
         parts.append(runoff_ratio(rows, by, PRED, precip, "runoff_ratio_predicted"))
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, ENTITY, "left")
+        out = join_groups(out, part, [ENTITY], "left")
     rounded = [c for c in out.columns if c.startswith(("bfi_", "runoff_"))]
     return out.select(*[F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in out.columns])
 
 
-def evaluate_predictions(df: DataFrame, model: str = "model", materialize: bool = True) -> DataFrame:
-    """The complete evaluation as long rows ``(model, section, scope, metric, value)``.
+def pooled_cuts(rows: DataFrame, flood: float, drought: float, high: float = 0.98, low: float = 0.30, steep: float = 0.2, flat: float = 0.7) -> DataFrame:
+    """One row with every threshold that the metrics of all rows ask for, both sides' flow duration ends included; two passes."""
+    probs = {"flood": flood, "drought": drought, "high": high, "low": low} | {f"cut{i}": q for i, q in enumerate(REGIME_QUANTILES)}
+    found = quantiles(_both_sides(rows), "value", probs, ["side"], {"steep": _exceeded(steep), "flat": _exceeded(flat)})
+    first = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name)))
+    ends = [first(s, n).alias(f"{s}_{n}") for s in (OBS, PRED) for n in ("steep", "flat")]
+    return found.groupBy().agg(*[first(OBS, name).alias(name) for name in probs], *ends)
+
 
-    The predictions are scanned once per section, so they are written once to the shared folder first.
+def pooled_scopes(rows: DataFrame, cuts: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row per scope with the metric suite, ``n`` and what the flow signatures of all rows are made of; one pass.
+
+    A row counts in each scope that it belongs to: all rows, flood and drought events, its flow regime (``regime_...``), high and low flow.
+    ``totals`` is the one row of :func:`sequence_row`; its mean flow gives the offset of the logarithms.
     """
-    rows = scored(df).select(ENTITY, DATE, OBS, PRED)
-    if materialize:
-        rows = durable(rows, "predictions")
-
-    def long(table: DataFrame, section: str, scope: Column) -> DataFrame:
-        names = [c for c in table.columns if c not in ("scope", "regime", ENTITY)]
-        cells = F.explode(
-            F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])
-        )
-        return table.select(
-            F.lit(model).alias("model"), F.lit(section).alias("section"), scope.cast("string").alias("scope"), cells.alias("cell")
-        ).select("model", "section", "scope", "cell.*")
-
-    pooled = rows.groupBy().agg(F.lit(0).alias("_one"), *Errors(OBS, PRED).suite(), Errors(OBS, PRED).n().alias("n_test_samples"))
-    shape = attach(attach(log_nse(rows), high_flow_bias(rows)), attach(low_flow_bias(rows), mid_slope_bias(rows)))
-    parts = [
-        long(pooled.drop("_one"), "overall_metrics", F.lit("all")),
-        long(extreme_metrics(rows), "extreme_event_metrics", F.col("scope")),
-        long(flow_regime_metrics(rows), "flow_regime_metrics", F.col("regime")),
-        long(shape, "hydrological_signatures", F.lit("all")),
-        long(baseflow_and_peaks(rows), "hydrological_signatures", F.lit("all")),
+    marked = attach(rows, attach(cuts, totals))
+    regimes = [
+        F.when((F.col(OBS) >= F.col(f"cut{i}")) & (F.col(OBS) < F.col(f"cut{i + 1}")), F.lit(f"regime_{name}")) for i, name in enumerate(REGIMES)
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    labels = [
+        F.lit("overall"),
+        F.when(F.col(OBS) >= F.col("flood"), F.lit("flood_events")),
+        F.when(F.col(OBS) <= F.col("drought"), F.lit("drought_events")),
+        F.when(F.col(OBS) >= F.col("high"), F.lit("high_flow")),
+        F.when(F.col(OBS) <= F.col("low"), F.lit("low_flow")),
+        *regimes,
+    ]
+    scoped = marked.select(OBS, PRED, "eps", F.explode(F.array_compact(F.array(*labels))).alias("scope"))
+    e = Errors(OBS, PRED)
+    log_o, log_p = F.ln(F.col(OBS) + F.col("eps")), F.ln(F.col(PRED) + F.col("eps"))
+    log_score = F.coalesce(Errors(log_o, log_p).nse(), F.when(F.max("eps") <= 0, F.lit(0.0)))
+    volume = F.when(F.sum(OBS) == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(100.0) * F.sum(F.col(PRED) - F.col(OBS)), F.sum(OBS)))
+    # Logarithms are measured from the smallest of their side; with one observed value there is nothing above it.
+    above_o = F.sum(log_o) - F.count(log_o) * F.min(log_o)
+    above_p = F.sum(log_p) - F.count(log_p) * F.min(log_p)
+    low = F.when(F.min(log_o) == F.max(log_o), F.lit(0.0)).otherwise(F.try_divide(F.lit(-100.0) * (above_p - above_o), above_o))
+    return scoped.groupBy("scope").agg(
+        *e.suite(), e.n().alias("n"), F.round(log_score, 4).alias("log_nse"), F.round(volume, 2).alias("volume_bias"), F.round(low, 2).alias("low_bias")
+    )
+
+
+def sequence_row(df: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """Sequence signatures of all entities together, each series on its own and then totals, and ``eps``, a share of the mean flow; one pass."""
+    totals = bf.sequence_totals(df)
+    share = lambda side: F.round(
+        F.when(F.sum(f"total_{side}") > 0, F.try_divide(F.sum(f"slow_{side}"), F.sum(f"total_{side}"))).otherwise(F.lit(0.0)), 4
+    )
+    return totals.agg(
+        (F.lit(epsilon) * F.try_divide(F.sum("flow"), F.sum("rows"))).alias("eps"),
+        share("obs").alias("bfi_observed"),
+        share("pred").alias("bfi_predicted"),
+        F.round(F.try_divide(F.sum("hits"), F.sum("peaks")), 4).alias("peak_timing_hit_rate"),
+    )
 
 
-def baseflow_and_peaks(df: DataFrame) -> DataFrame:
-    """Sequence signatures of all entities together: each series on its own, then totals over entities."""
-    observed = bf.baseflow(df, OBS, "slow").agg(_share("slow", OBS).alias("bfi_observed"))
-    predicted = bf.baseflow(df, PRED, "slow").agg(_share("slow", PRED).alias("bfi_predicted"))
-    peaks = series.peak_hits(df).agg(F.round(F.avg("hit"), 4).alias("peak_timing_hit_rate"))
-    return attach(attach(observed, predicted), peaks)
+def _slope_bias() -> Column:
+    """Bias in percent of the slope between the flow duration ends of :func:`pooled_cuts`."""
+    ends = {s: [F.ln(F.col(f"{s}_{n}") + F.col("eps")) for n in ("steep", "flat")] for s in (OBS, PRED)}
+    seen, guessed = (ends[s][0] - ends[s][1] for s in (OBS, PRED))
+    return F.round(F.when(seen == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(100.0) * (guessed - seen), seen)), 2)
 
 
-def _share(part: str, whole: str) -> Column:
-    total = F.sum(F.greatest(F.col(whole), F.lit(0.0)))
-    return F.round(F.when(total > 0, F.try_divide(F.sum(part), total)).otherwise(F.lit(0.0)), 4)
+def evaluate_predictions(df: DataFrame, model: str = "model", materialize: bool = True, flood: float = 95, drought: float = 5) -> DataFrame:
+    """The complete evaluation as long rows ``(model, section, scope, metric, value)``.
+
+    The predictions are written once to the shared folder and scanned four times: one pass in date order, two for all thresholds
+    together, one for all metrics. Without any row the pooled metrics are NULL and the counts 0.
+    """
+    rows = scored(df).select(ENTITY, DATE, F.col(OBS).cast("double").alias(OBS), F.col(PRED).cast("double").alias(PRED))
+    single = lambda table, label: durable(table, label) if materialize else table
+    rows = single(rows, "predictions")
+    totals = single(sequence_row(rows), "sequence")
+    cuts = single(pooled_cuts(rows, flood / 100.0, drought / 100.0), "cuts")
+    named = ["overall", "flood_events", "drought_events", "high_flow", "low_flow", *[f"regime_{r}" for r in REGIMES]]
+    scopes = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in named])).alias("scope"))
+    table = scopes.join(pooled_scopes(rows, cuts, totals), "scope", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    table = attach(table, attach(cuts, totals).select("*", _slope_bias().alias("slope_bias")).drop("flood", "drought", "high", "low"))
+
+    def cells(section: str, scope: Column, values: dict[str, Column]) -> Column:
+        return F.array(*[
+            F.struct(F.lit(section).alias("section"), scope.alias("scope"), F.lit(m).alias("metric"), v.cast("double").alias("value"))
+            for m, v in values.items()
+        ])
+
+    suite = {m: F.col(m) for m in ("nse", "kge", "rmse", "pbias", "r2")}
+    everything, scope = F.lit("all"), F.col("scope")
+    signatures = "hydrological_signatures"
+    sequence = {m: F.col(m) for m in ("bfi_observed", "bfi_predicted", "peak_timing_hit_rate")}
+    whole = F.concat(
+        cells("overall_metrics", everything, suite | {"n_test_samples": F.col("n")}),
+        cells("extreme_event_metrics", scope, suite | {"n_events": F.col("n")}),
+        cells(signatures, everything, {"log_nse": F.col("log_nse"), "fms_mid_slope_bias_pct": F.col("slope_bias")} | sequence),
+    )
+    regime = cells("flow_regime_metrics", F.substring_index(scope, "regime_", -1), suite | {"n_samples": F.col("n")})
+    shown = (
+        F.when(scope == "overall", whole)
+        .when((scope == "high_flow"), cells(signatures, everything, {"fhv_high_flow_bias_pct": F.col("volume_bias")}))
+        .when((scope == "low_flow"), cells(signatures, everything, {"flv_low_flow_bias_pct": F.col("low_bias")}))
+        .when(scope.startswith("regime_") & (F.col("n") >= 5), regime)
+        .when(scope.endswith("_events") & (F.col("n") > 5), cells("extreme_event_metrics", scope, suite | {"n_events": F.col("n")}))
+    )
+    return table.select(F.lit(model).alias("model"), F.inline(shown))
 
 
 def flow_duration_curve(df: DataFrame, value: str, by: Sequence[str] = (ENTITY,)) -> DataFrame:
@@ -301,18 +363,27 @@ def flow_duration_curve(df: DataFrame, value: str, by: Sequence[str] = (ENTITY,)
         .withColumn("_range", value_range(F.col(value)))
     )
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranges = counted.groupBy(*keys, "_range").agg(F.sum("n_equal").alias("_rows"))
+    ranges = counted.groupBy(*keys, "_range").agg(F.sum("n_equal").alias("_rows"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     earlier = whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     above = ranges.select(
         *keys,
         "_range",
+        "_lo",
+        "_hi",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_above"),
         F.sum("_rows").over(whole).alias("_n"),
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(value))
-    ranked = counted.join(above, [*keys, "_range"]).withColumn(
-        "last_rank", F.sum("n_equal").over(inside) + F.col("_above")
-    )
+    placed = join_groups(counted, above, [*keys, "_range"])
+    part, start = [*keys, "_range"], F.col("_above")
+    if ENTITY not in keys:  # a range may hold most values of a group of any size; one entity's values are bounded by the calendar
+        placed = placed.withColumn("_step", range_step(F.col(value)))
+        larger = Window.partitionBy(*part).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)
+        steps = placed.groupBy(*part, "_step").agg(F.sum("n_equal").alias("_step_rows"))
+        steps = steps.select(*part, "_step", F.coalesce(F.sum("_step_rows").over(larger), F.lit(0)).alias("_larger"))
+        part, start = [*part, "_step"], start + F.col("_larger")
+        placed = join_groups(placed, steps, part)
+    inside = Window.partitionBy(*part).orderBy(F.desc(value))
+    ranked = placed.withColumn("last_rank", F.sum("n_equal").over(inside) + start)
     first = F.col("last_rank") - F.col("n_equal") + 1
 
     def share(rank: Column) -> Column:

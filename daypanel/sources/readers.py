@@ -25,9 +25,11 @@ def _csv(spark: SparkSession, path: str, infer: bool) -> DataFrame:
 
 def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob on the file system of the pattern, sorted by name."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path)
-    return sorted(str(s.getPath()) for s in found or [])
+    try:
+        found = spark.read.format("binaryFile").load(pattern).select("path")  # contents are not read
+    except AnalysisException:  # nothing there
+        return []
+    return sorted(r["path"] for r in found.collect())
 
 
 def read_attributes(
