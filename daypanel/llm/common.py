@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Java and Python class of what separates words: space and U+0009 to U+000D.
 SEPARATORS = r"[ \t-\r]+"
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 1 << 20
+#: Repeated rows that one row stands for at most when they are listed again.
+CHUNK_ROWS = 4096
 
 
 def words(text: Column) -> Column:
@@ -30,6 +32,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def in_chunks(df: DataFrame, n: str, chunk: str = "chunk", size: int = CHUNK_ROWS) -> DataFrame:
+    """A row that stands for ``n`` rows becomes rows that stand for ``size`` rows at most, numbered from 0."""
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / size).cast("long"))
+    return df.withColumn(chunk, F.explode(numbers)).withColumn(n, F.least(F.col(n) - F.col(chunk) * size, F.lit(size).cast("long")))
+
+
 def fold_of(key: Column, folds: int = 4) -> Column:
     """crc32 of the key as text, modulo ``folds``; a NULL key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

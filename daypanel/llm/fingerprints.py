@@ -6,16 +6,18 @@ boundaries move with the text when it shifts. The fingerprint is the set of chun
 one text in another is the share of its bytes whose chunks the other has too.
 
 Successors: rows are range-partitioned and sorted by (id, hash of the text), one shuffle of the texts; the first row of every range is
-also sent to the end of the range before (a row per range), so each row meets the next one in a stream.
+also sent to the end of the range before (a row per range), so each row meets the next one in a stream. An id with more rows than a
+range is cut further by the hash of the text, and so are the NULL ids.
 
 Defined cases: NULL text counts as empty; the fingerprint of empty text is empty, its containment is 1 in an empty text and 0 in any other; rows of one id
 are ordered by the hash of their text, NULL ids come first, the row after the last is the first; one row follows itself; an empty table gives an
-empty one; other columns are left out.
+empty one; other columns are left out. Ids may be numbers, dates, times or texts; texts are cut by their first six bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, DateType, StringType
 
 from daypanel.llm.common import slices
 
@@ -123,25 +126,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _number_of(key: Column, kind: DataType) -> Column:
+    """A number that never falls as the id grows; different ids may share one."""
+    if isinstance(kind, DateType):
+        return F.unix_date(key).cast("double")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.conv(F.rpad(F.substring(F.hex(key), 1, 12), 12, "0"), 16, 10).cast("double")
+    return key.cast("double")
+
+
 def _in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows ``(range, sent, id, h, text)`` sorted so that each row is followed by its successor; ``sent`` ones are copies of a range's first row."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"h": F.xxhash64("text"), "at": F.col("id").cast("double")})
-    total = rows.count()
-    ranges = max(1, min(MAX_RANGES, total // RANGE_ROWS))
+    rows = rows.withColumns({"h": F.xxhash64("text"), "at": _number_of(F.col("id"), df.schema[id_col].dataType)})
+    total, known = rows.agg(F.count(F.lit(1)), F.count("at")).first()
+    ranges = max(1, min(MAX_RANGES, known // RANGE_ROWS))
     cuts = rows.approxQuantile("at", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="at", outputCol="range", handleInvalid="keep").transform(rows)
-    cut = cut.withColumn("range", F.when(F.col("at").isNull(), F.lit(0)).otherwise(F.col("range")).cast("int"))
+    often = {c: n for c, n in Counter(cuts).items() if n > 1}  # numbers with more rows than a range get one of their own
+    splits = [-float("inf"), *(sorted({*cuts, *(math.nextafter(c, math.inf) for c in often)}) or [0.0]), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="at", outputCol="bin", handleInvalid="keep").transform(rows)
+    cut = cut.withColumn("bin", F.when(F.col("at").isNull(), F.lit(-1)).otherwise(F.col("bin")).cast("int"))
+    parts = {splits.index(c): n for c, n in often.items()} | {-1: min(MAX_RANGES, (total - known) // RANGE_ROWS)}
+    parts = {b: n for b, n in parts.items() if n > 1}
+
+    def placed(parts: dict[int, int]) -> DataFrame:
+        if not parts:
+            return cut.withColumn("range", F.col("bin") * (MAX_RANGES + 1))
+        table = df.sparkSession.createDataFrame(sorted(parts.items()), "of int, parts int")
+        share = (F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * F.col("parts")
+        part = F.coalesce(F.least(F.floor(share).cast("int"), F.col("parts") - 1), F.lit(0))
+        split = cut.join(F.broadcast(table), F.col("bin") == F.col("of"), "left")
+        return split.withColumn("range", F.col("bin") * (MAX_RANGES + 1) + part).drop("of", "parts")
+
     first = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "h")).alias("first")
-    heads = sorted(cut.groupBy("range").agg(first).collect(), key=lambda r: r["range"])  # a row for each range
-    where = [(heads[i - 1]["range"], r["range"], r["first"]["id"], r["first"]["h"]) for i, r in enumerate(heads)]
-    session = df.sparkSession
+    found = placed(parts).groupBy("bin", "range").agg(first, F.max("id").alias("last")).collect()  # a row for each range
+    ids = {}
+    for r in found:
+        ids.setdefault(r["bin"], set()).update((r["first"]["id"], r["last"]))
+    alone = {b: n for b, n in parts.items() if len(ids.get(b, ())) == 1}  # the hash orders the rows of one id only
+    heads = {}
+    for r in found:
+        place = r["range"] if r["bin"] in alone else r["bin"] * (MAX_RANGES + 1)
+        heads[place] = min(heads.get(place, r["first"]), r["first"])
+    heads = sorted(heads.items())
+    where = [(heads[i - 1][0], place, head["id"], head["h"]) for i, (place, head) in enumerate(heads)]
+    ranged = placed(alone)
     kind = df.schema[id_col].dataType.simpleString()
-    moved = session.createDataFrame(where, f"to int, of int, head_id {kind}, head_h long")
+    moved = df.sparkSession.createDataFrame(where, f"to int, of int, head_id {kind}, head_h long")
     same = (F.col("range") == F.col("of")) & F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
-    sent = cut.join(F.broadcast(moved), same).select(F.col("to").alias("range"), F.lit(True).alias("sent"), "id", "h", "text")
-    every = cut.select("range", F.lit(False).alias("sent"), "id", "h", "text").unionByName(sent)
+    sent = ranged.join(F.broadcast(moved), same).select(F.col("to").alias("range"), F.lit(True).alias("sent"), "id", "h", "text")
+    every = ranged.select("range", F.lit(False).alias("sent"), "id", "h", "text").unionByName(sent.dropDuplicates(["range"]))
     return every.repartition(len(heads) or 1, "range").sortWithinPartitions("range", "sent", F.col("id").asc_nulls_first(), "h")
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daypanel.llm.common import words
+from daypanel.llm.common import CHUNK_ROWS, in_chunks, words
 from daypanel.session import durable
 
 WEIGHTS = (1, 2, 3)
@@ -169,7 +169,10 @@ def mix(
 def mix_rows(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per row of ``df``: id, ``size``, ``source_size``, ``target`` and ``taken`` (its words times its copies)."""
     mixed = mix(df, id_col, **options)
-    every = mixed.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    # What many equal rows stand for is spread in chunks before it is listed.
+    chunks = in_chunks(mixed.where(F.col("rows") > CHUNK_ROWS), "rows").repartition("key", "h", "chunk").drop("chunk")
+    spread = mixed.where(F.col("rows") <= CHUNK_ROWS).unionByName(chunks)
+    every = spread.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return every.select(F.col("key").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
