@@ -139,13 +139,14 @@ def order_statistics(
     picks: Mapping[str, Callable[[Column], Column]],
     by: Sequence[str] = (),
     count_name: str = "n",
+    null_groups: bool = False,
 ) -> DataFrame:
     """Exact elements of each group's ascending order: ``picks`` maps a name to ``n -> 0-based position``.
 
     Pass 1 counts rows per value range (combined on the map side, so a hot group costs a few
     thousand rows per task) and finds the ranges that hold a wanted position. Pass 2 keeps only the
     rows of those ranges, splits each range into 1,024 equal steps and orders distinct values inside
-    one step. A NULL key is a group like any other.
+    one step. Groups whose key is NULL are left out unless ``null_groups`` asks for them, as a grouping would keep them.
 
     What a range is searched for travels with its rows as grouping columns (``_rest_i``), so each
     pass reads the input once.
@@ -153,6 +154,9 @@ def order_statistics(
     by = list(by)
     v = F.col("_v")
     usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    if not null_groups:
+        for key in by:
+            usable = usable & F.col(key).isNotNull()
     rows = df.where(usable).select(*by, F.col(value).cast("double").alias("_v"))
     rows = rows.withColumn("_range", F.coalesce(value_range(v), F.lit(0)))
     ranges = rows.groupBy(*by, "_range").agg(
@@ -206,11 +210,12 @@ def order_statistics(
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), others: Mapping[str, Callable[[Column], Column]] | None = None
-) -> DataFrame:
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
+    others: Mapping[str, Callable[[Column], Column]] | None = None, null_groups: bool = False,
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per name, for groups of any size.
 
-    ``others`` are elements at given positions, as in :func:`order_statistics`, found in the same two passes.
+    ``others`` are elements at given positions, as in :func:`order_statistics`, found in the same two passes; ``null_groups`` is as there.
     """
 
     def at(q: float, edge: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -220,7 +225,7 @@ def quantiles(
     for name, q in probs.items():
         picks[f"_low_{name}"] = at(q, F.floor)
         picks[f"_high_{name}"] = at(q, F.ceil)
-    found = order_statistics(df, value, picks, by, count_name="_n")
+    found = order_statistics(df, value, picks, by, "_n", null_groups)
 
     def between(name: str, q: float) -> Column:
         place = (F.col("_n") - 1) * F.lit(float(q))

@@ -33,8 +33,8 @@ def scored(df: DataFrame) -> DataFrame:
 
 
 def _thresholds(df: DataFrame, probs: dict[str, float], by: Sequence[str], value: str = OBS) -> DataFrame:
-    """Quantiles per group: the built-in aggregate where a group is one entity's series, else the distributed one."""
-    return series_quantiles(df, value, probs, by) if ENTITY in by else quantiles(df, value, probs, by)
+    """Quantiles per group: the built-in aggregate where a group is one entity's series, else the distributed one. NULL is a group, as in the suite."""
+    return series_quantiles(df, value, probs, by) if ENTITY in by else quantiles(df, value, probs, by, null_groups=True)
 
 
 def metric_suite(df: DataFrame, by: Sequence[str] = (), digits: int | None = 4, count: str | None = None) -> DataFrame:
@@ -183,7 +183,7 @@ def mid_slope_bias(
     """Bias in percent of the slope of the flow duration curve between two exceedance shares."""
     rows = scored(df)
 
-    ends = order_statistics(_both_sides(rows, by), "value", {"steep": _exceeded(lower), "flat": _exceeded(upper)}, [*by, "side"])
+    ends = order_statistics(_both_sides(rows, by), "value", {"steep": _exceeded(lower), "flat": _exceeded(upper)}, [*by, "side"], null_groups=True)
 
     def end(side: str, name: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{side}_{name}")

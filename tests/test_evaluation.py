@@ -87,7 +87,7 @@ def test_evaluation_without_rows(many):
 
 def test_a_null_group_has_thresholds_like_any_other(many):
     by = many.withColumn("g", F.when(F.col("catchment_id") > "e2", "x"))
-    found = {r["g"]: r["q"] for r in order.quantiles(by, "y_true", {"q": 0.5}, ["g"]).collect()}
+    found = {r["g"]: r["q"] for r in order.quantiles(by, "y_true", {"q": 0.5}, ["g"], null_groups=True).collect()}
     for key in (None, "x"):
         values = [r["y_true"] for r in by.collect() if r["g"] == key]
         assert found[key] == pytest.approx(float(np.quantile(values, 0.5)), abs=1e-12)
