@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from daypanel.functions.scalar import date_from_parts, normalize_id
-from daypanel.operators.panel import canonical_columns, outer_merge_dims, target_depth, wide_to_long
+from daypanel.operators.panel import canonical_columns, outer_merge_dims, target_depth
 from daypanel.schema import ATTRIBUTE_COLUMNS, DATE, ENTITY, FORCING_COLUMNS, TARGET
 
 DATE_PARTS = ("year", "month", "day")
+#: Cells of wide files that a task hands on at once.
+CELLS = 100_000
 
 
 def _csv(spark: SparkSession, path: str, infer: bool) -> DataFrame:
@@ -109,17 +112,53 @@ def read_entity_series(
     return joined.select(ENTITY, DATE, *[c for c in dict.fromkeys(mapping.values()) if c in joined.columns])
 
 
-def read_wide(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """A wide table ``year, month, day, <id>, ...`` as ``(date, entity, value)``."""
-    raw = _csv(spark, path, infer=False)
-    ids = [c for c in raw.columns if c not in DATE_PARTS]
-    typed = raw.select(*[F.col(p).cast("int") for p in DATE_PARTS], *[F.col(f"`{c}`").try_cast("double") for c in ids])
-    return wide_to_long(_dated(typed).drop(*DATE_PARTS), [DATE], value)
+def _cells(names: Sequence[str], known: bool):
+    """The cells of each line of a wide file, a row a cell; the lines that repeat the header are left out."""
+    places = [names.index(p) for p in DATE_PARTS]
+    shown = [(i, n or f"_c{i}") for i, n in enumerate(names) if n not in DATE_PARTS]
+    columns = [*DATE_PARTS, "id", "cell"]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], columns)
 
-def read_observations(spark: SparkSession, path: str, attributes: DataFrame, name: str = TARGET) -> DataFrame:
-    """The wide observed rates as depth per day of the entities with a usable area."""
-    return target_depth(read_wide(spark, path, "_rate"), attributes, "_rate", name).drop("_rate")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for lines in batches:
+            for line in lines.column(0):
+                found = next(csv.reader([line.as_py().removeprefix("\ufeff").rstrip("\r")]), [])
+                if not found or found == list(names):
+                    continue
+                found += [""] * (len(names) - len(found))
+                day = [found[i] or None for i in places]
+                rows.extend((*day, n, found[i] or None) for i, n in shown if found[i] or not known)
+                if len(rows) >= CELLS:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def read_wide(spark: SparkSession, path: str, value: str, known: bool = False) -> DataFrame:
+    """A wide table ``year, month, day, <id>, ...`` as ``(date, entity, value)``, without the empty cells if ``known``.
+
+    A file may have any number of columns: lines are cut into cells by tasks, and no plan holds an expression for each column.
+    """
+    parts = []
+    for names, paths in header_catalogue(spark, path).items():
+        if missing := set(DATE_PARTS) - set(names):
+            raise ValueError(f"a wide file without the columns {sorted(missing)}: {paths[0]}")
+        parts.append(spark.read.text(paths).mapInArrow(_cells(names, known), "year string, month string, day string, id string, cell string"))
+    if not parts:
+        return spark.createDataFrame([], f"{DATE} date, {ENTITY} string, {value} double")
+    cells = _dated(reduce(DataFrame.union, parts))
+    return cells.select(DATE, normalize_id(F.col("id")).alias(ENTITY), F.col("cell").try_cast("double").alias(value))
+
+
+def read_observations(spark: SparkSession, path: str, attributes: DataFrame, name: str = TARGET, known: bool = False) -> DataFrame:
+    """The wide observed rates as depth per day of the entities with a usable area; only filled cells if ``known``."""
+    return target_depth(read_wide(spark, path, "_rate", known), attributes, "_rate", name).drop("_rate")
 
 
 def read_panel(
@@ -131,7 +170,7 @@ def read_panel(
     """
     known = read_attributes(spark, attributes)
     days = read_entity_series(spark, forcings, id_pattern=id_pattern).where(F.col(DATE).isNotNull())
-    observed = read_observations(spark, observations, known).select(ENTITY, DATE, TARGET)
+    observed = read_observations(spark, observations, known, known=True).select(ENTITY, DATE, TARGET)
     static = known.drop(*[c for c in known.columns if c != ENTITY and c in days.columns])
     return days.join(observed, [ENTITY, DATE], "left").join(static, ENTITY, "left")
 

@@ -56,3 +56,22 @@ def test_carried_in_order_over_small_batches(spark, series_of):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [got["0", d] for d in range(1, 7)] == [(None, None), (1, None), (1, 1), (1, None), (2, None), (2, 2)]
     assert [got["1", d][0] for d in range(1, 4)] == [None, None, 3] and {got["2", d][0] for d in range(1, 6)} == {None}
+
+
+def test_dealt_rows_without_key_or_day_have_no_features(spark, series_of):
+    from daypanel.operators.features import FeatureConfig, engineer_features
+
+    df = series_of("streamflow_mm_day", [*range(6)], [*range(5)]).withColumn(ENTITY, F.when(F.col(ENTITY) == "0", F.col(ENTITY)))
+    cfg = FeatureConfig(lags=(1, 2), windows=(3,), covariates=(), warmup=2)
+    want = engineer_features(df, cfg)
+    got = engineer_features(df.repartition(2, ENTITY), cfg, dealt=True)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_wide_files_have_more_columns_than_a_csv_reader_takes(spark, tmp_path):
+    from daypanel.sources import readers
+
+    ids = range(1, 21_001)
+    (tmp_path / "w.csv").write_text("year,month,day," + ",".join(map(str, ids)) + "\n2000,1,2,5.5" + "," * 20_999 + "7\n")
+    wide = readers.read_wide(spark, str(tmp_path / "w.csv"), "v", known=True)
+    assert {(r[ENTITY], r["v"], str(r[DATE])) for r in wide.collect()} == {("1", 5.5, "2000-01-02"), ("21000", 7.0, "2000-01-02")}
