@@ -8,45 +8,43 @@ from pyspark.sql import functions as F
 
 from daypanel.modelling.search import PREDICTION
 from daypanel.operators.features import FeatureConfig, engineer_features
-from daypanel.operators.fitted import apply_params
-from daypanel.operators.frames import carry_ordered
+from daypanel.operators.fitted import apply_params, carried_features
+from daypanel.operators.panel import HeldPanel, date_floor_filter
 from daypanel.operators.risk import risk_scores
 from daypanel.schema import BASIN, DATE, ENTITY
 from daypanel.session import durable
 from daypanel.sources.writers import prediction_rows
 
 
-def _prepared(panel: DataFrame, params: DataFrame, cfg: FeatureConfig, start: str | None, dealt: bool) -> DataFrame:
+def _prepared(panel: DataFrame | HeldPanel, params: DataFrame, cfg: FeatureConfig, start: str | None) -> DataFrame:
     fitted = params.collect()
-    late = F.col(DATE) >= F.lit(start).cast("date") if start else None
-    rows = engineer_features(panel, cfg, dealt, late)
-    keep = [c for c in (ENTITY, DATE, BASIN) if c in rows.columns]
-    if not dealt:
-        return apply_params(rows, fitted, keep)
-    # The features of dealt rows stand in the order of each series, so known values are carried forward where they are.
-    names = [p["column"] for p in fitted if not p["dropped"] and p["column"] in rows.columns]
-    return apply_params(carry_ordered(rows.select(*dict.fromkeys([*keep, *names])), names, ENTITY), fitted, keep, carried=True)
+    if isinstance(panel, HeldPanel):
+        names = [p["column"] for p in fitted if not p["dropped"]]
+        keep = [ENTITY, DATE, *([BASIN] if BASIN in panel.fields("_copies") else [])]
+        return apply_params(carried_features(panel, cfg, names, keep, since=start), fitted, keep, carried=True)
+    features = engineer_features(panel, cfg)
+    rows = date_floor_filter(features, start) if start else features
+    return apply_params(rows, fitted, [c for c in (ENTITY, DATE, BASIN) if c in rows.columns])
 
 
-def score_batch(panel: DataFrame, params: DataFrame, model: Transformer, cfg: FeatureConfig, dealt: bool = False) -> DataFrame:
+def score_batch(panel: DataFrame | HeldPanel, params: DataFrame, model: Transformer, cfg: FeatureConfig) -> DataFrame:
     """``(date, entity, prediction)`` for every entity of the panel, with the fitted columns only.
 
-    ``dealt``: see :func:`daypanel.operators.series.over_series`; nothing is shuffled or computed twice then.
+    The features of a held panel are made and carried forward entity by entity; only its rows are shuffled.
     """
-    return prediction_rows(model.transform(_prepared(panel, params, cfg, None, dealt)), PREDICTION)
+    return prediction_rows(model.transform(_prepared(panel, params, cfg, None)), PREDICTION)
 
 
 def score_risk(
-    panel: DataFrame,
+    panel: DataFrame | HeldPanel,
     attributes: DataFrame,
     params: DataFrame,
     model: Transformer,
     cfg: FeatureConfig,
     start: str,
-    dealt: bool = False,
 ) -> DataFrame:
     """Risk of every entity from its predictions on and after ``start``, which are written once: the scores read them several times."""
-    predicted = model.transform(_prepared(panel, params, cfg, start, dealt)).select(
+    predicted = model.transform(_prepared(panel, params, cfg, start)).select(
         ENTITY, DATE, F.col(PREDICTION).alias("predicted")
     )
     predicted = durable(predicted, "predicted")
