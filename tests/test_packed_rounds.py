@@ -1,0 +1,15 @@
+"""Rounds of quantile regression on packed rows."""
+
+import pyarrow as pa
+
+from daypanel.modelling import quantile_regression
+from daypanel.schema import TARGET
+
+
+def test_packed_rows_of_quantile_regression_over_several_packs(spark):
+    df = spark.range(0, 501).selectExpr("CAST(id AS DOUBLE) AS x", f"CAST(3 * id + id % 5 AS DOUBLE) AS {TARGET}")
+    model = quantile_regression.fit_quantile(df.repartition(3), ["x"], 0.5)
+    assert abs(model.coefficients[0] - 3) < 0.05 and abs(model.intercept - 2) < 0.5
+    batch = pa.RecordBatch.from_arrays([pa.array([float(i) for i in range(150)]), pa.array([1.0] * 150)], ["x", "y"])
+    packed = next(quantile_regression._packed(iter([batch])))
+    assert packed.num_rows == 3 and [len(t) for t in quantile_regression._tables(packed.slice(1), 3)] == [86]
