@@ -15,9 +15,6 @@ from daypanel.operators.fitted import fit_standard, scale_columns
 from daypanel.schema import TARGET
 from daypanel.session import durable
 
-#: Rows that are written as one value, and rows that a task works on at once.
-PACK, ROWS = 64, 10_000
-
 
 def pinball(residual: Column, q: float) -> Column:
     """The loss whose minimum is the conditional quantile."""
@@ -39,30 +36,16 @@ class LinearQuantile:
         return df.withColumn(name, value)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (1, inputs, target) as bytes, :data:`PACK` rows a value: a round then reads them without taking columns apart."""
-    for batch in batches:
-        if batch.num_rows:
-            table = np.stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]], 1)
-            parts = [table[at : at + PACK].tobytes() for at in range(0, len(table), PACK)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["cells"])
-
-
-def _tables(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    cells = batch.column(0).cast(pa.large_binary())
-    edges = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + len(cells) + 1]
-    table = np.frombuffer(cells.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(np.float64).reshape(-1, width)
-    for at in range(0, len(table), ROWS):
-        yield table[at : at + ROWS]
-
-
 def _round(weights: np.ndarray, probs: Sequence[float], floor: float, first: bool):
     """One pass for all quantiles: the weighted normal equations and the loss of the present coefficients, one row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = weights.shape[1]
         sums, losses, rows = np.zeros((len(probs), size, size + 1)), np.zeros(len(probs)), 0
-        for table in (t for batch in batches if batch.num_rows for t in _tables(batch, size + 1)):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]], 1)
             x, y = table[:, :-1], table[:, -1]
             rows += len(y)
             for k, q in enumerate(probs):
@@ -96,7 +79,7 @@ def fit_quantiles(
     spread = fit_standard(rows, names).collect()
     deviation = rows.agg(F.stddev_pop(target)).head()[0] or 1.0
     scaled = scale_columns(rows, spread).select(*[F.col(c).cast("double") for c in names], target)
-    scaled = durable(scaled.mapInArrow(_packed, "cells binary"), "scaled")
+    scaled = durable(scaled, "scaled")
     size = len(names) + 1
     weights = np.zeros((len(asked), size))
     best, best_loss, last = weights.copy(), np.full(len(asked), np.inf), None
