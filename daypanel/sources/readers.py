@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from operator import and_
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from daypanel.functions.scalar import date_from_parts, normalize_id
 from daypanel.operators.panel import canonical_columns, outer_merge_dims, target_depth
 from daypanel.schema import ATTRIBUTE_COLUMNS, DATE, ENTITY, FORCING_COLUMNS, TARGET
+from daypanel.session import durable
 
 DATE_PARTS = ("year", "month", "day")
 #: Cells of wide files that a task hands on at once.
@@ -63,19 +65,26 @@ def _decoded(path: Column) -> Column:
     return F.coalesce(F.try_url_decode(path), path)
 
 
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The first line of each file below a folder, ``(path, header)``, read as one Spark job; files without a line have none."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    place = lines.where("start = 0").withColumn("place", F.monotonically_increasing_id())
+    return place.groupBy("path").agg(F.min_by("value", "place").alias("header"))
+
+
+def _names(header: str) -> tuple[str, ...]:
+    return tuple(next(csv.reader([header.removeprefix("\ufeff").rstrip("\r")]), []))
+
+
 def header_catalogue(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
     """The files below a folder by their header, read from their first lines as one Spark job.
 
     The driver gets the distinct headers and the paths, which it would list for any scan. Files without a line are left out.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    place = lines.where("start = 0").withColumn("place", F.monotonically_increasing_id())
-    firsts = place.groupBy("path").agg(F.min_by("value", "place").alias("header"))
     found: dict[tuple[str, ...], list[str]] = {}
-    for r in firsts.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
-        names = tuple(next(csv.reader([r["header"].removeprefix("\ufeff").rstrip("\r")]), []))
-        found.setdefault(names, []).extend(unquote(p) for p in r["paths"])
+    for r in _first_lines(spark, path).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
+        found.setdefault(_names(r["header"]), []).extend(unquote(p) for p in r["paths"])
     return dict(sorted(found.items()))
 
 
@@ -87,29 +96,49 @@ def read_entity_series(
 ) -> DataFrame:
     """All entities' daily series from a folder of one file per entity, whose files may differ in columns.
 
-    The id is the group of ``id_pattern`` in the file's path. Files are scanned together by their header, each scan reads only the date
-    and the mapped columns, as doubles, and a column that a file lacks is NULL for its entity. Values are not inferred. Files whose
+    The id is the group of ``id_pattern`` in the file's path. All files are scanned together by place; what stands at a place follows from
+    the header of the file, which is joined by its path, so that no list of files is named to a reader. Only the date and the mapped
+    columns are kept, as doubles, and a column that a file lacks is NULL for its entity. Values are not inferred. Files whose
     header lacks a part of the date have no day and are left out.
     """
-    parts = []
-    for names, paths in header_catalogue(spark, path).items():
+    firsts = durable(_first_lines(spark, path), "headers")
+    forms: list[tuple[str, dict[str, int]]] = []
+    width = 0
+    for header in sorted(r["header"] for r in firsts.select("header").distinct().collect()):
+        names = _names(header)
         if not set(DATE_PARTS) <= set(names):
             continue
-        schema = StructType([StructField(n, StringType()) for n in names])
-        raw = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
-        named = canonical_columns(raw.withColumn("_path", _decoded(F.col("_metadata.file_path"))), mapping)
-        values = [c for c in dict.fromkeys(mapping.values()) if c in named.columns]
-        parts.append(
-            _dated(named).select(
-                normalize_id(F.regexp_extract("_path", id_pattern, 1)).alias(ENTITY),
-                DATE,
-                *[F.col(c).try_cast("double").alias(c) for c in values],
-            )
-        )
-    if not parts:
+        wanted = [mapping.get(n.strip().lower(), n) for n in names]
+        if twice := sorted({n for n in wanted if wanted.count(n) > 1 and n in (*DATE_PARTS, *mapping.values())}):
+            raise ValueError(f"columns that a file has twice: {twice}")
+        forms.append((header, {n: i for i, n in enumerate(wanted)}))
+        width = max(width, len(names))
+    if not forms:
         return spark.createDataFrame([], f"{ENTITY} string, {DATE} date")
-    joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return joined.select(ENTITY, DATE, *[c for c in dict.fromkeys(mapping.values()) if c in joined.columns])
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
+    raw = spark.read.option("header", False).option("recursiveFileLookup", True).schema(schema).csv(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("path"))
+    form = F.when(F.lit(False), F.lit(0))
+    for i, (header, _) in enumerate(forms):
+        form = form.when(F.col("header") == header, F.lit(i))
+    located = raw.join(firsts.select("path", form.alias("_form")).where("_form IS NOT NULL"), "path")
+
+    def at(name: str) -> Column:
+        """The cell of a column, by the form of the file."""
+        cell = F.when(F.lit(False), F.lit(None).cast("string"))
+        for i, (_, places) in enumerate(forms):
+            if name in places:
+                cell = cell.when(F.col("_form") == i, F.col(f"_c{places[name]}"))
+        return cell
+
+    values = [c for c in dict.fromkeys(mapping.values()) if any(c in places for _, places in forms)]
+    cells = located.select(F.col("path").alias("_path"), *[at(c).alias(c) for c in (*DATE_PARTS, *values)])
+    headers = [F.coalesce(F.replace(F.col(p), F.lit("\ufeff"), F.lit("")) == p, F.lit(False)) for p in DATE_PARTS]
+    return _dated(cells.where(~reduce(and_, headers))).select(
+        normalize_id(F.regexp_extract(_decoded(F.col("_path")), id_pattern, 1)).alias(ENTITY),
+        DATE,
+        *[F.col(c).try_cast("double").alias(c) for c in values],
+    )
 
 
 def _cells(names: Sequence[str], known: bool):

@@ -194,3 +194,20 @@ def test_borders_as_numbers_and_as_a_row(spark):
 def test_unknown_statistic_is_refused():
     with pytest.raises(ValueError, match="unknown statistic"):
         Frame("v", "mode", 3, "x")
+
+
+def test_files_of_two_forms_are_scanned_once_and_listed_to_no_reader(spark, tmp_path, monkeypatch):
+    write(tmp_path, "00001.csv", "year,month,day,prcp(mm/day),tmax(C)\n2001,1,2,1.5,30\n\n2001,1,3,,31\n2001,1,4\n")
+    write(tmp_path, "00002.csv", 'day,"month",x,year,PRCP(mm/day)\n5,6,"a,b",2002,2.5\n')
+    write(tmp_path, "00003.csv", "year,month,tmax(C)\n2001,1,9\n")
+    write(tmp_path, "00004.csv", "")
+    asked = []
+    scan = type(spark.read).csv
+    monkeypatch.setattr(type(spark.read), "csv", lambda self, path, *a, **b: asked.append(path) or scan(self, path, *a, **b))
+    found = readers.read_entity_series(spark, str(tmp_path))
+    assert asked == [str(tmp_path)]
+    rows = {(r["catchment_id"], str(r["date"]), r["precipitation_mm"], r["temperature_max_c"]) for r in found.collect()}
+    assert rows == {("1", "2001-01-02", 1.5, 30.0), ("1", "2001-01-03", None, 31.0), ("1", "2001-01-04", None, None), ("2", "2002-06-05", 2.5, None)}
+    write(tmp_path, "00005.csv", "year,month,day,tmax(C),TMAX(C)\n2001,1,2,1,2\n")
+    with pytest.raises(ValueError, match="twice"):
+        readers.read_entity_series(spark, str(tmp_path))
