@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +45,25 @@ def _mean_flow() -> Column:
     return F.avg("flow") + F.lit(SMALL_FLOW)
 
 
-def _flood() -> Column:
-    often = F.least(_share(F.col("flow") > F.col("p95")) * 20, F.lit(1.0))
-    large = F.least(ratio(F.max("p99"), _mean_flow()) / 10, F.lit(1.0))
-    varied = F.least(ratio(F.stddev_pop("flow"), _mean_flow()) / 3, F.lit(1.0))
+def _flood_of(share: Column, high: Column, spread: Column) -> Column:
+    """From the share of high flows, and the 99 % quantile and the deviation over the mean."""
+    often = F.least(share * 20, F.lit(1.0))
+    large = F.least(high / 10, F.lit(1.0))
+    varied = F.least(spread / 3, F.lit(1.0))
     return _unit(F.lit(0.4) * often + F.lit(0.4) * large + F.lit(0.2) * varied)
 
 
+def _flood() -> Column:
+    return _flood_of(_share(F.col("flow") > F.col("p95")), ratio(F.max("p99"), _mean_flow()), ratio(F.stddev_pop("flow"), _mean_flow()))
+
+
+def _drought_parts_of(low: Column, share: Column) -> tuple[Column, Column]:
+    """From the 5 % quantile over the mean and the share of low flows."""
+    return F.lit(1.0) - F.least(low, F.lit(1.0)), F.least(share * 10, F.lit(1.0))
+
+
 def _drought_parts() -> tuple[Column, Column]:
-    low = F.lit(1.0) - F.least(ratio(F.max("p5"), _mean_flow()), F.lit(1.0))
-    often = F.least(_share(F.col("flow") < F.col("p10")) * 10, F.lit(1.0))
-    return low, often
+    return _drought_parts_of(ratio(F.max("p5"), _mean_flow()), _share(F.col("flow") < F.col("p10")))
 
 
 def _drought(low: Column, often: Column, run: Column) -> Column:
@@ -59,6 +71,56 @@ def _drought(low: Column, often: Column, run: Column) -> Column:
     return _unit(F.lit(0.3) * low + F.lit(0.3) * often + F.lit(0.4) * lasting)
 
 
+#: What the scores of an entity are made of.
+STATISTICS = "n_rows bigint, p5 double, p99 double, _high double, _below double, mean_flow double, max_flow double, std_flow double, longest_run bigint"
+
+
+def _above(a: np.ndarray, b: float) -> np.ndarray:
+    """``a > b`` where NaN is larger than any number, as Spark orders it."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
+def _quantile(ordered: np.ndarray, q: float) -> float:
+    place = (len(ordered) - 1) * q
+    low, high = math.floor(place), math.ceil(place)
+    if ordered[low] == ordered[high] or low == high:
+        return float(ordered[low])
+    return float((high - place) * ordered[low] + (place - low) * ordered[high])
+
+
+def series_statistics(entities: pa.Array, day: np.ndarray, flows: np.ndarray) -> pa.RecordBatch:
+    """A row of :data:`STATISTICS` for each entity of a batch of whole entities, whose rows stand by entity and day."""
+    flows = np.where(flows < 0, 0.0, flows)
+    known = pc.dictionary_encode(entities, null_encoding="encode").indices.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))
+    rows = []
+    for own, at in zip(np.split(flows, starts[1:]), np.split(day, starts[1:]), strict=True):
+        ordered = np.sort(own)
+        p5, p10, p95, p99 = (_quantile(ordered, q) for q in (0.05, 0.10, 0.95, 0.99))
+        below = ~_above(own, p10) & (own != p10) & ~np.isnan(own)
+        if (at[1:] == at[:-1]).any():  # of the rows of a day, which have no order, the last one comes first
+            order = np.lexsort((-np.arange(len(at)), at))
+            at, below = at[order], below[order]
+        # The runs are numbered by the day of the last row not below the limit, as longest_run_below does.
+        since = np.maximum.accumulate(np.where(below, -1, at))
+        run = int(np.unique(since[below], return_counts=True)[1].max()) if below.any() else 0
+        rows.append((len(own), p5, p99, float(_above(own, p95).mean()), float(below.mean()), float(own.mean()), float(ordered[-1]), float(own.std()), run))
+    names = [part.split()[0] for part in STATISTICS.split(", ")]
+    kinds = [pa.int64() if part.endswith("bigint") else pa.float64() for part in STATISTICS.split(", ")]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([entities.take(pa.array(starts)), *columns], [ENTITY, *names])
+
+
+def _scores_of(statistics: DataFrame, min_rows: int) -> DataFrame:
+    """The columns of :func:`raw_scores` from :data:`STATISTICS`."""
+    mean = F.col("mean_flow") + F.lit(SMALL_FLOW)
+    flood = _flood_of(F.col("_high"), ratio(F.col("p99"), mean), ratio(F.col("std_flow"), mean))
+    low, often = _drought_parts_of(ratio(F.col("p5"), mean), F.col("_below"))
+    rows = statistics.where(F.col(ENTITY).isNotNull() & (F.col("n_rows") >= min_rows))
+    shown = ["n_rows", flood.alias("flood_score"), "mean_flow", "max_flow", "std_flow", "longest_run"]
+    return rows.select(ENTITY, *shown, _drought(low, often, F.col("longest_run")).alias("drought_score"))
+
+
 def raw_scores(df: DataFrame, value: str = PRED, min_rows: int = 30) -> DataFrame:
     """Unrounded scores and flow statistics per entity with enough rows: one pass for thresholds, one for scores."""
     flows = _flows(df, value)
@@ -94,16 +156,21 @@ def drought_score(df: DataFrame, value: str = PRED) -> DataFrame:
 
 
 def risk_scores(
-    df: DataFrame,
+    df: DataFrame | None,
     attributes: DataFrame | None = None,
     value: str = PRED,
     min_rows: int = 30,
     flood_cuts: Sequence[float] = RISK_CUTS,
     drought_cuts: Sequence[float] | None = None,
     labels: Sequence[str] = RISK_LEVELS,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
-    """Scores, levels (from the unrounded scores) and flow statistics per entity, with its attributes."""
-    raw = raw_scores(df, value, min_rows).withColumn(
+    """Scores, levels (from the unrounded scores) and flow statistics per entity, with its attributes.
+
+    ``statistics``, a row of :data:`STATISTICS` an entity, stands for the rows of ``df`` where they were reduced before.
+    """
+    raw = raw_scores(df, value, min_rows) if statistics is None else _scores_of(statistics, min_rows)
+    raw = raw.withColumn(
         "combined_score", F.lit(0.5) * F.col("flood_score") + F.lit(0.5) * F.col("drought_score")
     )
     drought_cuts = flood_cuts if drought_cuts is None else drought_cuts
