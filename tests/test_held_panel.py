@@ -60,3 +60,37 @@ def test_column_quantiles_are_those_of_unfolded_columns(spark):
     long = df.unpivot([], df.columns, "column", "value")
     probs = {"lo": 0.03, "median": 0.5, "hi": 0.97}
     _same(order.column_quantiles(df, df.columns, probs), order.quantiles(long, "value", probs, ["column"]))
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_a_linear_model_is_applied_where_the_features_are_made(spark, copies, monkeypatch):
+    from daypanel.modelling import scoring, search
+
+    entities, seen = _tables(spark, copies)
+    held = P.hold_panel(entities, seen, "2000-01-01", "2000-02-29")
+    ready = fitted.preprocess_held(held, CFG, "2000-02-10", "2000-02-11", (PRECIP, "precip_intensity", "is_rainy_day"))
+    model = search.model_stages(search.FAMILIES["linear"]({"regParam": 0.1}), ready.features).fit(ready.train)
+    scored = scoring.score_batch(held, ready.params, model, CFG)
+    risk = scoring.score_risk(held, entities.distinct(), ready.params, model, CFG, "2000-01-15")
+    for out in (scored, risk):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "UDF(" not in plan
+    monkeypatch.setattr(scoring, "_line", lambda m: None)  # rows with all features, scored by the model's own transform
+    want, whole = scoring.score_batch(held, ready.params, model, CFG), scoring.score_risk(held, entities.distinct(), ready.params, model, CFG, "2000-01-15")
+    assert want.count() == (5 + copies - 1) * 52 and whole.count() == 5
+    for got, own in ((scored, want), (risk, whole)):
+        # Where a day has several rows, their order is not fixed, and with it the longest run.
+        shown = [c for c in own.columns if copies == 1 or not c.startswith(("drought", "combined"))]
+        _same(got.select(shown), own.select(shown))
+
+
+def test_an_input_that_needs_the_value_of_its_day_is_scored_by_the_model(spark):
+    from daypanel.modelling import scoring, search
+
+    entities, seen = _tables(spark)
+    held = P.hold_panel(entities, seen, "2000-01-01", "2000-02-29")
+    ready = fitted.preprocess_held(held, CFG, "2000-02-10", "2000-02-11")
+    assert {PRECIP, "is_rainy_day"} & set(ready.features)
+    model = search.model_stages(search.FAMILIES["linear"]({"regParam": 0.1}), ready.features).fit(ready.train)
+    assert scoring._line_scores(held, ready.params.collect(), model, CFG, None, False) is None
+    assert scoring.score_batch(held, ready.params, model, CFG).count() == 5 * 52
