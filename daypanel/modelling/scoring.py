@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from daypanel.modelling.explain import _line
 from daypanel.modelling.search import PREDICTION
-from daypanel.operators.features import FeatureConfig, day_columns, engineer_features, made_columns, reduced_features
+from daypanel.operators.features import FeatureConfig, calendar_days, engineer_features, made_columns, reduced_features
 from daypanel.operators.fitted import apply_params, carried_features
 from daypanel.operators.panel import HeldPanel, date_floor_filter
 from daypanel.operators.risk import STATISTICS, risk_scores, series_statistics
@@ -43,11 +44,7 @@ def _line_terms(panel: HeldPanel, fitted: Sequence[Row], model: Transformer, cfg
     if weights is None or not set(weights) <= set(used) or any(used[c][k] is None for c in weights for k in ("median", "center", "scale")):
         return None
     own = {**panel.fields("_copies"), **made_columns(panel, cfg)}
-    spark, first = panel.rows.sparkSession, F.lit(panel.start).cast("date")
-    length = F.greatest(F.datediff(F.lit(panel.end).cast("date"), first) + 1, F.lit(0))
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(1), length)).alias("pos")).where(F.lit(panel.start) <= F.lit(panel.end))
-    days = days.withColumn(DATE, F.date_add(first, F.col("pos") - 1))
-    dated = days.select("pos", *day_columns(cfg, days))
+    dated = calendar_days(panel, cfg)
     listed = [c for c in weights if c not in own and c in dated.columns]
     if not set(weights) <= {*own, *listed}:  # features of values of the row itself
         return None
@@ -87,8 +84,8 @@ def _line_scores(panel: HeldPanel, fitted: Sequence[Row], model: Transformer, cf
         return series_statistics(batch.column(ENTITY), batch.column("pos").to_numpy(), _summed(terms, intercept, batch))
 
     if risk:
-        return reduced_features(panel, cfg, names, statistics, f"{kind}, {STATISTICS}", start)
-    return reduced_features(panel, cfg, names, scores, f"{kind}, {DATE} date, {PREDICTION} double", start)
+        return reduced_features(panel, cfg, names, partial(map, statistics), f"{kind}, {STATISTICS}", start)
+    return reduced_features(panel, cfg, names, partial(map, scores), f"{kind}, {DATE} date, {PREDICTION} double", start)
 
 
 def score_batch(panel: DataFrame | HeldPanel, params: DataFrame, model: Transformer, cfg: FeatureConfig) -> DataFrame:

@@ -94,3 +94,58 @@ def test_an_input_that_needs_the_value_of_its_day_is_scored_by_the_model(spark):
     model = search.model_stages(search.FAMILIES["linear"]({"regParam": 0.1}), ready.features).fit(ready.train)
     assert scoring._line_scores(held, ready.params.collect(), model, CFG, None, False) is None
     assert scoring.score_batch(held, ready.params, model, CFG).count() == 5 * 52
+
+
+def test_scoring_learns_from_a_held_panel_without_its_training_rows(spark, monkeypatch):
+    from daypanel.modelling import search
+
+    entities, seen = _tables(spark, 3)
+    held = P.hold_panel(entities, seen, "2000-01-01", "2000-02-29")
+    unused = (PRECIP, "precip_intensity", "is_rainy_day")
+    want = fitted.preprocess_held(held, CFG, "2000-02-10", "2000-02-11", unused, max_missing=0.15)
+    written = []
+    monkeypatch.setattr(fitted, "durable", lambda df, label: written.append(df.columns) or df.persist())
+    got = fitted.learn_held(held, CFG, "2000-02-10", unused, max_missing=0.15)
+    assert written == [["column", "_range", "_rows"]]  # counts, no rows
+    assert got.features == want.features and any(r["dropped"] for r in got.params.collect())
+    _same(got.params, want.params)
+    for penalty in ({"regParam": 0.1}, {"regParam": 0.05, "elasticNetParam": 0.5}):
+        line = search.FAMILIES["linear"](penalty)
+        rows, moments = search.model_stages(line, want.features).fit(want.train), search.fit_moments(spark, got.moments, line, got.features)
+        a, b = rows.transform(want.test), moments.transform(want.test)
+        _same(b.select(ENTITY, DATE, F.round("prediction", 6)), a.select(ENTITY, DATE, F.round("prediction", 6)))
+
+
+def test_inputs_of_their_day_and_no_training_rows_are_left_to_the_rows(spark):
+    entities, seen = _tables(spark)
+    held = P.hold_panel(entities, seen, "2000-01-01", "2000-02-29")
+    assert fitted.learn_held(held, CFG, "2000-02-10") is None
+    assert fitted.learn_held(held, CFG, "1999-12-31", (PRECIP, "precip_intensity", "is_rainy_day")) is None
+
+
+def test_rows_of_the_moments_keep_flat_columns_flat(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    x = np.arange(10.0)
+    parts = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 5]), pa.array([0.1] * 5), pa.array([None, *x[i + 1 : i + 5]])], list("abc")) for i in (0, 5)]
+    (row,) = fitted._moments_of([0.0, 0.0, 7.0])(iter(parts))
+    cells = np.array([x, np.full(10, 0.1), np.where(x % 5 == 0, 7.0, x)])
+    n, means, products = (row.column(i).to_pylist()[0] for i in range(3))
+    assert n == 10 and np.allclose(means, cells.mean(1)) and np.allclose(np.reshape(products, (3, 3)) / 10, np.cov(cells, bias=True))
+    assert products[4] == 0.0
+
+
+def test_statistics_of_one_frame_are_put_together_once(monkeypatch):
+    import numpy as np
+
+    from daypanel.operators import frames
+
+    joined, calls = frames._joined, []
+    monkeypatch.setattr(frames, "_joined", lambda a, b: calls.append(1) or joined(a, b))
+    wanted = [frames.Frame("v", s, 7, s) for s in ("mean", "std", "sum")]
+    values = np.array([0.0] * 8 + [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0])
+    made = frames._cells_of_column(wanted, values, values > 0, None, slice(8, None))
+    assert len(calls) == 4  # frames of 2 and 4 rows, and 4 + 2 + 1
+    last = values[-7:]
+    assert [made[s][0][-1] for s in ("mean", "std", "sum")] == pytest.approx([last.mean(), last.std(ddof=1), last.sum()])
