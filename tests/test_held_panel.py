@@ -116,6 +116,22 @@ def test_scoring_learns_from_a_held_panel_without_its_training_rows(spark, monke
         _same(b.select(ENTITY, DATE, F.round("prediction", 6)), a.select(ENTITY, DATE, F.round("prediction", 6)))
 
 
+def test_inputs_that_determine_each_other_are_solved_exactly(spark):
+    import numpy as np
+
+    from daypanel.modelling import search
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(200, 3))
+    cells = np.column_stack([x, x[:, 0] + x[:, 1], np.full(200, 2.0), 3 * x[:, 0] - x[:, 2] + draw.normal(size=200)])
+    moments = fitted.Moments(200, cells.mean(0), (cells - cells.mean(0)).T @ (cells - cells.mean(0)))
+    model = search.fit_moments(spark, moments, search.FAMILIES["linear"]({}), list("abcde"))
+    assert model.stages[0].getInputCols() == ["a", "b", "c"]
+    inputs = np.column_stack([x, np.ones(200)])
+    want = np.linalg.lstsq(inputs, cells[:, -1], rcond=None)[0]
+    assert np.allclose([*model.stages[1].coefficients, model.stages[1].intercept], want, rtol=0, atol=1e-10)
+
+
 def test_inputs_of_their_day_and_no_training_rows_are_left_to_the_rows(spark):
     entities, seen = _tables(spark)
     held = P.hold_panel(entities, seen, "2000-01-01", "2000-02-29")
